@@ -5,8 +5,8 @@ ordinary texts, the toxic one on the same windows and on the strings that toxic
 hold far more often than ordinary ones. A window (WINDOW words, lower-cased) is compressed
 with both; it is toxic by as many bytes as the toxic dictionary saves. Before
 compression every character becomes a fixed code of CODE bytes, so that a match of a few
-characters outweighs the bytes that announce it. A text's largest savings, and the shares
-of its windows whose savings exceed thresholds, enter a logistic calibration that is
+characters outweighs the bytes that announce it. A text's largest savings, and the numbers
+of its windows by savings, enter a logistic calibration that is
 fitted across two halves of the training texts, each with the other half's dictionaries.
 
 Training reads a bounded sample: TOXIC and ORDINARY labelled texts of at most
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .common import crc_mod, ship
 
-TOXIC, ORDINARY, TRAINING_CHARS = 1200, 2400, 20_000
+TOXIC, ORDINARY, TRAINING_CHARS = 1000, 2000, 20_000
 WINDOW = 1
 CODE = 3
 LEVEL = 19
@@ -40,8 +40,10 @@ DICTIONARY = 4096
 #: Lengths of strings whose frequencies are compared, and how they must differ.
 GRAMS = (4, 5, 6, 8)
 LEAST_SHARE, RATIO = 0.01, 8
-STRINGS = 32
-THRESHOLDS = (3, 4, 6, 8)
+#: Strings kept, and how often each must be some word's most telling one, per toxic text.
+STRINGS, USED = 64, 0.08
+#: Savings, in bytes, that are counted apart.
+LEAST, MOST = 3, 16
 CACHE_WINDOWS = 500_000
 
 
@@ -66,27 +68,35 @@ def _strings(word: str) -> set[str]:
     return {padded[i : i + n] for n in GRAMS for i in range(len(padded) - n + 1)}
 
 
-def _shares(texts: list[str], only: set[str] | None = None) -> Counter:
+def string_counts(texts: list[str], only: set[str] | None = None) -> Counter:
+    """In how many of the texts each string occurs."""
     counts: Counter = Counter()
+    of_word: dict[str, set[str]] = {}
     for text in texts:
-        found = set().union(*map(_strings, set(windows(text, 1)))) if text.strip() else set()
-        counts.update(found if only is None else found & only)
+        found: set[str] = set()
+        for word in set(windows(text, 1)):
+            strings = of_word.get(word)
+            if strings is None:
+                strings = of_word[word] = _strings(word) if only is None else _strings(word) & only
+            found |= strings
+        counts.update(found)
     return counts
 
 
-def telling_strings(toxic: list[str], ordinary: list[str]) -> list[str]:
+def telling_strings(mine: Counter, theirs: Counter, toxic: list[str], n_ordinary: int) -> list[str]:
     """Strings far more frequent in toxic texts, the most telling one of each word, rarest first."""
-    mine = _shares(toxic)
     least = max(3, LEAST_SHARE * len(toxic))
-    mine = Counter({g: n for g, n in mine.items() if n >= least})
-    theirs = _shares(ordinary, set(mine))
-    chosen = {g for g, n in mine.items() if n * (len(ordinary) + 1) >= RATIO * (theirs[g] + 1) * len(toxic)}
+    chosen = {g for g, n in mine.items() if n >= least and n * (n_ordinary + 1) >= RATIO * (theirs[g] + 1) * len(toxic)}
     best: Counter = Counter()
+    of_word: dict[str, str | None] = {}
     for text in toxic:
         for word in windows(text, 1):
-            if hits := _strings(word) & chosen:
-                best[max(hits, key=lambda g: (mine[g] * (len(g) - 2), g))] += 1
-    return [g for g, _ in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:STRINGS]][::-1]
+            if word not in of_word:
+                of_word[word] = max(_strings(word) & chosen, key=lambda g: (mine[g] * (len(g) - 2), g), default=None)
+            best[of_word[word]] += 1
+    best.pop(None, None)
+    often = [(g, n) for g, n in best.items() if n >= max(3, USED * len(toxic))]
+    return [g for g, _ in sorted(often, key=lambda x: (-x[1], x[0]))[:STRINGS]][::-1]
 
 
 def _ordinary_content(texts: list[str]) -> str:
@@ -153,12 +163,13 @@ class Scorer:
         return np.array(out, dtype=np.float64)
 
     def features(self, text: str | None) -> np.ndarray:
+        """The largest savings, their mean, the windows' number, and how many windows save so much."""
         d = self.savings(text)
         if not len(d):
-            return np.zeros(4 + 2 * len(THRESHOLDS))
+            return np.zeros(4 + MOST - LEAST + 1)
         top = np.partition(d, -3)[-3:] if len(d) > 3 else d
-        over = [(d >= t).sum() for t in THRESHOLDS]
-        return np.array([d.max(), top.mean(), d.mean(), np.log1p(len(d)), *np.log1p(over), *(x / len(d) * 10 for x in over)])
+        by = np.bincount(np.clip(d, 0, MOST).astype(int), minlength=MOST + 1)[LEAST:]
+        return np.array([d.max(), top.mean(), d.mean(), np.log1p(len(d)), *np.log1p(by)])
 
     def score(self, text: str | None) -> float:
         m = self.model
@@ -191,8 +202,9 @@ def _sample(docs: DataFrame, labels: DataFrame, toxic: int, n: int) -> list[str]
     return [r["text"] for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(n).collect()]
 
 
-def _dictionaries(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
-    return ToxicityModel(_ordinary_content(ordinary), "".join(telling_strings(toxic, ordinary)))
+def _dictionaries(mine: Counter, theirs: Counter, toxic: list[str], ordinary: list[str]) -> ToxicityModel:
+    # blanks at the end: zstandard doesn't look up a dictionary's last bytes
+    return ToxicityModel(_ordinary_content(ordinary) + "    ", "".join(telling_strings(mine, theirs, toxic, len(ordinary))) + "    ")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
@@ -201,21 +213,28 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     share = len(toxic) / max(1, len(toxic) + len(ordinary))
     if len(toxic) < 2 or len(ordinary) < 2:
         return ToxicityModel("", "", bias=float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
+    # the sample holds more toxic texts than the labels do; the bias returns to their share
+    counts = {r["toxic"]: r["n"] for r in labels.where(crc_mod("doc_id", 5) != 0).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    shift = float(np.log(counts[1] / counts[0]) - np.log(len(toxic) / len(ordinary)))
+    return fit_texts(toxic, ordinary, shift)
+
+
+def fit_texts(toxic: list[str], ordinary: list[str], shift: float = 0.0) -> ToxicityModel:
+    """The model from texts; shift is added to the bias."""
+    mine = [string_counts(toxic[k::2]) for k in (0, 1)]
+    seen = {g for m in mine for g, n in m.items() if n > 1}
+    theirs = [string_counts(ordinary[k::2], seen) for k in (0, 1)]
     x, y = [], []
     for own, other in ((0, 1), (1, 0)):  # features come from dictionaries that didn't see the text
-        scorer = Scorer(_dictionaries(toxic[own::2], ordinary[own::2]))
+        scorer = Scorer(_dictionaries(mine[own], theirs[own], toxic[own::2], ordinary[own::2]))
         for truth, texts in ((1.0, toxic[other::2]), (0.0, ordinary[other::2])):
             x += [scorer.features(t) for t in texts]
             y += [truth] * len(texts)
     x, y = np.array(x), np.array(y)
-    model = _dictionaries(toxic, ordinary)
+    model = _dictionaries(mine[0] + mine[1], theirs[0] + theirs[1], toxic, ordinary)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     weights, bias = _logistic((x - mean) / scale, y)
-    # the sample holds more toxic texts than the labels do; the bias returns to their share
-    counts = {r["toxic"]: r["n"] for r in labels.where(crc_mod("doc_id", 5) != 0).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if counts.get(1) and counts.get(0):
-        bias += float(np.log(counts[1] / counts[0]) - np.log(len(toxic) / len(ordinary)))
-    return ToxicityModel(model.ordinary, model.toxic, tuple(weights.tolist()), tuple(mean.tolist()), tuple(scale.tolist()), bias)
+    return ToxicityModel(model.ordinary, model.toxic, tuple(weights.tolist()), tuple(mean.tolist()), tuple(scale.tolist()), bias + shift)
 
 
 def _scores(model: ToxicityModel):
