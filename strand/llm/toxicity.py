@@ -198,8 +198,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
 def _sample(docs: DataFrame, labels: DataFrame, toxic: int, n: int) -> list[str]:
     """Texts of n training rows with that label, in the order of a hash of their ids."""
     learn = labels.where((F.col("toxic") == toxic) & (crc_mod("doc_id", 5) != 0)).select("doc_id").dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= TRAINING_CHARS)).join(learn, "doc_id")
-    return [r["text"] for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(n).collect()]
+    fits = F.col("text").isNotNull() & (F.length("text") <= TRAINING_CHARS)
+    ids = docs.where(fits).select("doc_id").join(learn, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).distinct()
+    chosen = docs.where(fits).select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most n ids; no text is shuffled
+    return [r["text"] for r in sorted(chosen.collect(), key=lambda r: (r["doc_id"], r["text"]))][:n]
 
 
 def _dictionaries(mine: Counter, theirs: Counter, toxic: list[str], ordinary: list[str]) -> ToxicityModel:
