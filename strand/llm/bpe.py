@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ship
-from .tokens import ChunkEncoder, single_threaded
+from .tokens import PieceEncoder, single_threaded
 
 BATCH = 256
-_WORKER: dict[tuple, ChunkEncoder] = {}
+_WORKER: dict[tuple, PieceEncoder] = {}
 
 
 def byte_characters() -> dict[int, str]:
@@ -104,12 +104,12 @@ class ByteBpe:
         return rows.mapInArrow(_decode(self.tokens), T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
-def worker_encoder(key: tuple, model: str) -> ChunkEncoder:
+def worker_encoder(key: tuple, model: str) -> PieceEncoder:
     if key not in _WORKER:
         single_threaded()
         from tokenizers import Tokenizer
 
-        _WORKER[key] = ChunkEncoder(Tokenizer.from_str(model))
+        _WORKER[key] = PieceEncoder(Tokenizer.from_str(model))
     return _WORKER[key]
 
 

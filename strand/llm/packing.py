@@ -93,7 +93,7 @@ def plan_table(plan: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.nd
 
 def _cut(path: str, window: int, end: int):
     def run(batches):
-        encoder = file_encoder(path, words_only=True)
+        encoder = file_encoder(path, words=True)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)

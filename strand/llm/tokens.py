@@ -1,10 +1,16 @@
-"""Encoding with the tokenizers library, once per distinct chunk of text.
+"""Encoding with the tokenizers library, once per distinct piece of text.
 
-A chunk is a run of blanks and newlines with the run of other characters behind it.
-The pre-tokenizers used here never join a character to a blank behind it, so a text's
-ids are its chunks' ids in order (tests compare whole texts). Chunks repeat, so each
-worker keeps the ids of those it has met, up to CACHE_CHUNKS, and starts afresh beyond
-that. Texts with any other white space are encoded in one piece.
+Two ways of cutting a text into pieces that the tokenizer never joins:
+- spaced (byte-level BPE): the pre-tokenizer's own runs, of letters, digits and other
+  characters with the blank before them, in texts in ASCII and Latin-1 letters without
+  apostrophes; other texts are cut behind each run of characters that aren't blank.
+- words (a tokenizer that lower-cases and drops white space): runs of letters, runs of
+  other characters, and single digits, of texts in ASCII and Latin-1 letters without
+  apostrophes; other texts are cut at white space.
+A text's ids are its pieces' ids in order (tests compare whole texts). Each worker keeps
+the ids of the pieces it has met, up to CACHE_PIECES, and starts afresh beyond that. New
+pieces are encoded together, as one text, and told apart by the tokens that begin (or
+end) a piece. Texts with any other white space are encoded as they are.
 """
 
 from __future__ import annotations
@@ -12,43 +18,71 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Callable
 
-CACHE_CHUNKS = 400_000
-#: Chunks longer than this are encoded but not kept.
+import numpy as np
+
+CACHE_PIECES = 800_000
+#: Pieces longer than this are encoded but not kept.
 LONGEST_KEPT = 64
 
-_CHUNKS = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
+_SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
+_RUNS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ \nA-Za-z0-9À-ÖØ-öø-ÿ]+|[ \n]+(?![^ \n])|[ \n]+").findall
 _OTHER_SPACE = re.compile(r"[^\S \n]").search
-_ENCODERS: dict[tuple[str, bool], "ChunkEncoder"] = {}
-
+_NOT_LATIN = re.compile(r"[^\n -&(-~À-ÿ]").search
+_WORDS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^ \na-z0-9ß-öø-ÿ]+").findall
+_ENCODERS: dict[tuple[str, bool], "PieceEncoder"] = {}
 
-class ChunkEncoder:
-    """words_only: the tokenizer drops white space, so chunks are split at it."""
 
-    def __init__(self, tokenizer, words_only: bool = False):
-        self.tokenizer = tokenizer
-        self.split: Callable[[str], list[str]] = str.split if words_only else _CHUNKS
+class PieceEncoder:
+    def __init__(self, tokenizer, words: bool = False):
+        self.tokenizer, self.words = tokenizer, words
         self.cache: dict[str, bytes] = {}
+        vocabulary = tokenizer.get_vocab()
+        #: Which tokens end a word, or begin with a blank.
+        self.marks = np.zeros(max(vocabulary.values(), default=-1) + 1, dtype=bool)
+        for token, i in vocabulary.items():
+            self.marks[i] = token.endswith("</w>") if words else token.startswith("Ġ")
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _raw(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _together(self, pieces: list[str], glue: str) -> list[bytes]:
+        raw = self._raw([glue.join(pieces)])[0]
+        at = np.flatnonzero(self.marks[np.frombuffer(raw, dtype=np.uint32)])
+        if len(at) != len(pieces):
+            return self._raw(pieces)
+        cuts = [0, *(4 * (at + 1)).tolist()] if self.words else [*(4 * at).tolist(), len(raw)]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _learn(self, pieces: list[str], cut: bool) -> dict[str, bytes]:
+        """cut: the pieces are single words."""
+        if self.words:
+            joined, rest = (pieces, []) if cut else ([], pieces)
+        else:
+            joined = [p for p in pieces if p[0] == " " and len(p) > 1 and p[1] not in " \n"]
+            rest = [p for p in pieces if not (p[0] == " " and len(p) > 1 and p[1] not in " \n")]
+        out = dict(zip(joined, self._together(joined, " " if self.words else ""), strict=True)) if joined else {}
+        out.update(zip(rest, self._raw(rest), strict=True))
+        return out
+
     def encode(self, text: str) -> bytes:
         """The text's ids as unsigned 32-bit integers in this machine's (little-endian) order."""
         if _OTHER_SPACE(text):
-            return self._ids([text])[0]
-        chunks = self.split(text)
+            return self._raw([text])[0]
+        cut = not _NOT_LATIN(text)
+        if self.words:
+            pieces = _WORDS(text.lower()) if cut else text.split()
+        else:
+            pieces = _RUNS(text) if cut else _SPACED(text)
         cache = self.cache
         try:
-            return b"".join([cache[c] for c in chunks])
+            return b"".join([cache[p] for p in pieces])
         except KeyError:
-            if len(cache) > CACHE_CHUNKS:
+            if len(cache) > CACHE_PIECES:
                 cache.clear()
-        missing = list({c for c in chunks if c not in cache})
-        found = dict(zip(missing, self._ids(missing), strict=True))
-        cache.update((c, ids) for c, ids in found.items() if len(c) <= LONGEST_KEPT)
-        return b"".join([found[c] if c in found else cache[c] for c in chunks])
+        found = self._learn(list({p for p in pieces if p not in cache}), cut)
+        cache.update((p, ids) for p, ids in found.items() if len(p) <= LONGEST_KEPT)
+        return b"".join([found[p] if p in found else cache[p] for p in pieces])
 
 
 def single_threaded() -> None:
@@ -57,14 +91,14 @@ def single_threaded() -> None:
     os.environ["RAYON_NUM_THREADS"] = "1"
 
 
-def file_encoder(path: str, words_only: bool = False) -> ChunkEncoder:
+def file_encoder(path: str, words: bool = False) -> PieceEncoder:
     """The worker's encoder for a tokenizer file; it stays between tasks."""
-    key = (path, words_only)
+    key = (path, words)
     if key not in _ENCODERS:
         single_threaded()
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _ENCODERS[key] = ChunkEncoder(tokenizer, words_only)
+        _ENCODERS[key] = PieceEncoder(tokenizer, words)
     return _ENCODERS[key]
