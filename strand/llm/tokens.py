@@ -67,22 +67,21 @@ class PieceEncoder:
 
     def encode(self, text: str) -> bytes:
         """The text's ids as unsigned 32-bit integers in this machine's (little-endian) order."""
-        if _OTHER_SPACE(text):
-            return self._raw([text])[0]
         cut = not _NOT_LATIN(text)
+        if not cut and _OTHER_SPACE(text):
+            return self._raw([text])[0]
         if self.words:
             pieces = _WORDS(text.lower()) if cut else text.split()
         else:
             pieces = _RUNS(text) if cut else _SPACED(text)
-        cache = self.cache
-        try:
-            return b"".join([cache[p] for p in pieces])
-        except KeyError:
-            if len(cache) > CACHE_PIECES:
-                cache.clear()
-        found = self._learn(list({p for p in pieces if p not in cache}), cut)
-        cache.update((p, ids) for p, ids in found.items() if len(p) <= LONGEST_KEPT)
-        return b"".join([found[p] if p in found else cache[p] for p in pieces])
+        ids = list(map(self.cache.get, pieces))
+        if None in ids:
+            found = self._learn(list({p for p, x in zip(pieces, ids, strict=True) if x is None}), cut)
+            ids = [found[p] if x is None else x for p, x in zip(pieces, ids, strict=True)]
+            if len(self.cache) > CACHE_PIECES:
+                self.cache.clear()
+            self.cache.update((p, x) for p, x in found.items() if len(p) <= LONGEST_KEPT)
+        return b"".join(ids)
 
 
 def single_threaded() -> None:
