@@ -45,6 +45,8 @@ STRINGS, USED = 64, 0.08
 #: Savings, in bytes, that are counted apart.
 LEAST, MOST = 3, 16
 CACHE_WINDOWS = 500_000
+#: Windows whose savings are judged together; a text's log odds are its segments' mean.
+SEGMENT = 400
 
 
 def code_table(seed: int = 7) -> dict[str, bytes]:
@@ -145,12 +147,12 @@ class Scorer:
     def coded(self, text: str) -> bytes:
         return b"".join(map(self.codes.__getitem__, text))
 
-    def savings(self, text: str | None) -> np.ndarray:
+    def savings(self, different: list[str]) -> np.ndarray:
         if self.lengths is None:
             return np.empty(0)
         ordinary, toxic = self.lengths
         out, cache = [], self.cache
-        for w in windows(text):
+        for w in different:
             saved = cache.get(w)
             if saved is None:
                 raw = self.coded(f" {w}")
@@ -162,9 +164,14 @@ class Scorer:
             out.append(saved)
         return np.array(out, dtype=np.float64)
 
-    def features(self, text: str | None) -> np.ndarray:
+    def features(self, text: str | None) -> list[np.ndarray]:
+        """One vector for each SEGMENT windows of the text, over its different windows."""
+        all_windows = windows(text)
+        return [self._vector(list(dict.fromkeys(all_windows[at : at + SEGMENT]))) for at in range(0, max(1, len(all_windows)), SEGMENT)]
+
+    def _vector(self, different: list[str]) -> np.ndarray:
         """The largest savings, their mean, the windows' number, and how many windows save so much."""
-        d = self.savings(text)
+        d = self.savings(different)
         if not len(d):
             return np.zeros(4 + MOST - LEAST + 1)
         top = np.partition(d, -3)[-3:] if len(d) > 3 else d
@@ -175,7 +182,7 @@ class Scorer:
         m = self.model
         z = m.bias
         if m.weights:
-            z += float(((self.features(text) - m.mean) / m.scale) @ np.array(m.weights))
+            z += float((((np.array(self.features(text)) - m.mean) / m.scale) @ np.array(m.weights)).mean())
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -230,8 +237,9 @@ def fit_texts(toxic: list[str], ordinary: list[str], shift: float = 0.0) -> Toxi
     for own, other in ((0, 1), (1, 0)):  # features come from dictionaries that didn't see the text
         scorer = Scorer(_dictionaries(mine[own], theirs[own], toxic[own::2], ordinary[own::2]))
         for truth, texts in ((1.0, toxic[other::2]), (0.0, ordinary[other::2])):
-            x += [scorer.features(t) for t in texts]
-            y += [truth] * len(texts)
+            for vectors in map(scorer.features, texts):
+                x += vectors
+                y += [truth] * len(vectors)
     x, y = np.array(x), np.array(y)
     model = _dictionaries(mine[0] + mine[1], theirs[0] + theirs[1], toxic, ordinary)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
