@@ -136,7 +136,7 @@ def _encode(key: tuple, model: str, sizes: np.ndarray | None):
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                ids = [np.frombuffer(encoder.encode(t), dtype=np.int32) for t in texts]
+                ids = [np.frombuffer(x, dtype=np.int32) for x in encoder.encode_many(texts)]
                 columns, names = [part.column(0), _lists(ids)], [batch.schema.names[0], "token_ids"]
                 if sizes is not None:
                     spans = [character_offsets(t, sizes[x]) for t, x in zip(texts, ids, strict=True)]

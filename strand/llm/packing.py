@@ -98,8 +98,9 @@ def _cut(path: str, window: int, end: int):
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
                 out: list[list] = [[], [], [], [], []]
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = encoder.encode(text or "") + end.to_bytes(4, "little")
+                encoded = encoder.encode_many([t or "" for t in part.column(1).to_pylist()])
+                for doc, ids in zip(part.column(0).to_pylist(), encoded, strict=True):
+                    ids += end.to_bytes(4, "little")
                     n = len(ids) // 4
                     for start in range(0, n, window):
                         length = min(window, n - start)

@@ -38,7 +38,7 @@ def _encode(path: str, end: int):
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 piece = batch.slice(at, BATCH)
-                ids = [np.frombuffer(encoder.encode(t or ""), dtype=np.int32) for t in piece.column(1).to_pylist()]
+                ids = [np.frombuffer(x, dtype=np.int32) for x in encoder.encode_many([t or "" for t in piece.column(1).to_pylist()])]
                 sizes = np.array([len(x) + 1 for x in ids], dtype=np.int64)
                 ends = np.cumsum(sizes)
                 flat = np.concatenate([y for x in ids for y in (x, last)]) if ids else last[:0]

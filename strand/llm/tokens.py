@@ -24,6 +24,8 @@ import numpy as np
 CACHE_PIECES = 800_000
 #: Pieces longer than this are encoded but not kept.
 LONGEST_KEPT = 64
+#: Characters of texts whose new pieces are encoded together.
+AT_ONCE = 1 << 20
 
 _SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
 _RUNS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ \nA-Za-z0-9À-ÖØ-öø-ÿ]+|[ \n]+(?![^ \n])|[ \n]+").findall
@@ -49,8 +51,9 @@ class PieceEncoder:
     def _together(self, pieces: list[str], glue: str) -> list[bytes]:
         raw = self._raw([glue.join(pieces)])[0]
         at = np.flatnonzero(self.marks[np.frombuffer(raw, dtype=np.uint32)])
-        if len(at) != len(pieces):
-            return self._raw(pieces)
+        if len(at) != len(pieces):  # some piece holds several marks; none holds none
+            half = len(pieces) // 2
+            return self._raw(pieces) if half < 32 else self._together(pieces[:half], glue) + self._together(pieces[half:], glue)
         cuts = [0, *(4 * (at + 1)).tolist()] if self.words else [*(4 * at).tolist(), len(raw)]
         return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -67,21 +70,41 @@ class PieceEncoder:
 
     def encode(self, text: str) -> bytes:
         """The text's ids as unsigned 32-bit integers in this machine's (little-endian) order."""
-        cut = not _NOT_LATIN(text)
-        if not cut and _OTHER_SPACE(text):
-            return self._raw([text])[0]
-        if self.words:
-            pieces = _WORDS(text.lower()) if cut else text.split()
-        else:
-            pieces = _RUNS(text) if cut else _SPACED(text)
-        ids = list(map(self.cache.get, pieces))
-        if None in ids:
-            found = self._learn(list({p for p, x in zip(pieces, ids, strict=True) if x is None}), cut)
-            ids = [found[p] if x is None else x for p, x in zip(pieces, ids, strict=True)]
-            if len(self.cache) > CACHE_PIECES:
-                self.cache.clear()
-            self.cache.update((p, x) for p, x in found.items() if len(p) <= LONGEST_KEPT)
-        return b"".join(ids)
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids; pieces that are new to the worker are encoded together, AT_ONCE characters of texts at a time."""
+        out: list[bytes] = []
+        start = size = 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= AT_ONCE or i == len(texts) - 1:
+                out += self._encode_some(texts[start : i + 1])
+                start, size = i + 1, 0
+        return out
+
+    def _pieces(self, text: str) -> tuple[bool, list[str] | None]:
+        """Whether the pieces are single words, and the pieces; None: the text is encoded as it is."""
+        if not _NOT_LATIN(text):
+            return True, _WORDS(text.lower()) if self.words else _RUNS(text)
+        if _OTHER_SPACE(text):
+            return False, None
+        return False, text.split() if self.words else _SPACED(text)
+
+    def _encode_some(self, texts: list[str]) -> list[bytes]:
+        if len(self.cache) > CACHE_PIECES:
+            self.cache.clear()
+        cache, long = self.cache, []
+        cuts = list(map(self._pieces, texts))
+        for cut in (True, False):
+            new = list(set().union(*(pieces for c, pieces in cuts if c == cut and pieces)).difference(cache))
+            if new:
+                cache.update(self._learn(new, cut))
+                long += [p for p in new if len(p) > LONGEST_KEPT]
+        out = [self._raw([text])[0] if pieces is None else b"".join(map(cache.__getitem__, pieces)) for text, (_, pieces) in zip(texts, cuts, strict=True)]
+        for piece in long:
+            del cache[piece]
+        return out
 
 
 def single_threaded() -> None:
