@@ -27,6 +27,8 @@ END = 2
 BATCH = 256
 ROW_GROUP = 16 << 20
 PAGE = 256 << 10
+#: Packed ids hardly compress further at higher levels.
+ZSTD_LEVEL = 1
 
 
 def _encode(path: str, end: int):
@@ -59,6 +61,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end: int = END, enco
     (
         rows.mapInArrow(_encode(tokenizer, end), schema)
         .write.option("compression", "zstd")
+        .option("parquet.compression.codec.zstd.level", ZSTD_LEVEL)
         .option("parquet.writer.version", "v2")
         .option("parquet.block.size", row_group)
         .option("parquet.page.size", page)
