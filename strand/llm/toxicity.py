@@ -2,7 +2,9 @@
 
 Two zstandard dictionaries are trained on labelled text: the ordinary one on windows of
 ordinary texts, the toxic one on the same windows and on the strings that toxic texts
-hold far more often than ordinary ones. A window (WINDOW words, lower-cased) is compressed
+hold far more often than ordinary ones, among all texts or within one of the groups (mostly
+languages) that are found from the texts' words. Both hold these strings without their first
+and last characters, so that only whole strings save. A window (WINDOW words, lower-cased) is compressed
 with both; it is toxic by as many bytes as the toxic dictionary saves. Before
 compression every character becomes a fixed code of CODE bytes, so that a match of a few
 characters outweighs the bytes that announce it. A text's largest savings, and the numbers
@@ -37,13 +39,18 @@ WINDOW = 1
 CODE = 3
 LEVEL = 19
 DICTIONARY = 4096
-#: Lengths of strings whose frequencies are compared, and how they must differ.
+#: Lengths of strings whose shares of a group's texts are compared; the least toxic texts with one, how many times
+#: likelier it is in toxic ones, and twice the log-likelihood ratio of that.
 GRAMS = (4, 5, 6, 8)
-LEAST_SHARE, RATIO = 0.01, 8
-#: Strings kept, and how often each must be some word's most telling one, per toxic text.
-STRINGS, USED = 64, 0.08
+LEAST_TEXTS, RATIO, SURPRISE = 4, 8, 25
+#: Frequent words that group the texts, and the cosine under which two long texts are of different groups.
+PROFILE, ALIKE = 500, 0.5
+#: Texts of a group; those of smaller ones go to the nearest others.
+LEAST_GROUP = 20
+#: Ordinary words with an edge of a toxic string, at least, for the ordinary dictionary to hold that edge.
+EDGE_WORDS = 5
 #: Savings, in bytes, that are counted apart.
-LEAST, MOST = 3, 16
+LEAST, MOST = 1, 6
 CACHE_WINDOWS = 500_000
 #: Windows whose savings are judged together; a text's log odds are its segments' mean.
 SEGMENT = 400
@@ -85,20 +92,62 @@ def string_counts(texts: list[str], only: set[str] | None = None) -> Counter:
     return counts
 
 
-def telling_strings(mine: Counter, theirs: Counter, toxic: list[str], n_ordinary: int) -> list[str]:
-    """Strings far more frequent in toxic texts, the most telling one of each word, rarest first."""
-    least = max(3, LEAST_SHARE * len(toxic))
-    chosen = {g for g, n in mine.items() if n >= least and n * (n_ordinary + 1) >= RATIO * (theirs[g] + 1) * len(toxic)}
+def text_groups(texts: list[str]) -> np.ndarray:
+    """A group for each text, found from its words alone: texts whose frequent words agree (languages, mostly).
+
+    The longest texts that are unlike each other are the first centres; spherical k-means goes on from there.
+    """
+    counts = [Counter(windows(t, 1)) for t in texts]
+    common = Counter(w for c in counts for w in c)
+    at = {w: i for i, (w, _) in enumerate(sorted(common.items(), key=lambda x: (-x[1], x[0]))[:PROFILE])}
+    x = np.zeros((len(texts), len(at)))
+    for i, c in enumerate(counts):
+        for w, n in c.items():
+            if w in at:
+                x[i, at[w]] = np.sqrt(n)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    centres: list[np.ndarray] = []
+    for i in sorted(range(len(texts)), key=lambda i: (-sum(counts[i].values()), i)):
+        if x[i].any() and all(x[i] @ c < ALIKE for c in centres):
+            centres.append(x[i])
+    if not centres:
+        return np.zeros(len(texts), int)
+    c = np.array(centres)
+    for _ in range(10):
+        of = (x @ c.T).argmax(axis=1)
+        sizes = np.bincount(of, minlength=len(c))
+        sums = np.array([x[of == k].sum(axis=0) for k in np.flatnonzero(sizes >= min(LEAST_GROUP, sizes.max()))])
+        c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    return (x @ c.T).argmax(axis=1)
+
+
+def _surprise(n: int, of: int, m: int, out_of: int) -> float:
+    """Twice the log-likelihood ratio of n in `of` texts and m in out_of having different rates."""
+    both, all_ = n + m, of + out_of
+    terms = ((n, of * both), (of - n, of * (all_ - both)), (m, out_of * both), (out_of - m, out_of * (all_ - both)))
+    return 2 * sum(k * np.log(k * all_ / e) for k, e in terms if k)
+
+
+#: Texts that hold each string, and all texts, of the toxic and the ordinary ones of a group.
+Group = tuple[Counter, int, Counter, int]
+
+
+def telling_strings(groups: list[Group], toxic: list[str]) -> list[str]:
+    """Strings far more frequent in toxic texts of a group, the most telling one of each word, rarest first."""
+    held: Counter = Counter()
+    for mine, of, theirs, out_of in groups:
+        for g, n in mine.items():
+            if n >= LEAST_TEXTS and n * (out_of + 1) >= RATIO * (theirs[g] + 1) * of and _surprise(n, of, theirs[g], out_of) >= SURPRISE:
+                held[g] = max(held[g], n)
     best: Counter = Counter()
     of_word: dict[str, str | None] = {}
     for text in toxic:
         for word in windows(text, 1):
             if word not in of_word:
-                of_word[word] = max(_strings(word) & chosen, key=lambda g: (mine[g] * (len(g) - 2), g), default=None)
+                of_word[word] = max((g for g in _strings(word) if g in held), key=lambda g: (held[g] * (len(g) - 2), g), default=None)
             best[of_word[word]] += 1
     best.pop(None, None)
-    often = [(g, n) for g, n in best.items() if n >= max(3, USED * len(toxic))]
-    return [g for g, _ in sorted(often, key=lambda x: (-x[1], x[0]))[:STRINGS]][::-1]
+    return [g for g, n in sorted(best.items(), key=lambda x: (x[1], x[0])) if n >= LEAST_TEXTS]
 
 
 def _ordinary_content(texts: list[str]) -> str:
@@ -142,7 +191,7 @@ class Scorer:
             dictionary.precompute_compress(compression_params=parameters)
             return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=parameters).compress
 
-        self.lengths = (compressor(model.ordinary), compressor(model.ordinary + model.toxic)) if model.toxic else None
+        self.lengths = (compressor(model.ordinary), compressor(model.toxic + model.ordinary)) if model.toxic else None
 
     def coded(self, text: str) -> bytes:
         return b"".join(map(self.codes.__getitem__, text))
@@ -170,13 +219,13 @@ class Scorer:
         return [self._vector(list(dict.fromkeys(all_windows[at : at + SEGMENT]))) for at in range(0, max(1, len(all_windows)), SEGMENT)]
 
     def _vector(self, different: list[str]) -> np.ndarray:
-        """The largest savings, their mean, the windows' number, and how many windows save so much."""
+        """The largest savings, their mean, the windows' number, how many save anything, and how many so much."""
         d = self.savings(different)
         if not len(d):
-            return np.zeros(4 + MOST - LEAST + 1)
+            return np.zeros(5 + MOST - LEAST + 1)
         top = np.partition(d, -3)[-3:] if len(d) > 3 else d
         by = np.bincount(np.clip(d, 0, MOST).astype(int), minlength=MOST + 1)[LEAST:]
-        return np.array([d.max(), top.mean(), d.mean(), np.log1p(len(d)), *np.log1p(by)])
+        return np.array([d.max(), top.mean(), d.mean(), np.log1p(len(d)), np.log1p(by.sum()), *np.log1p(by)])
 
     def score(self, text: str | None) -> float:
         m = self.model
@@ -211,9 +260,35 @@ def _sample(docs: DataFrame, labels: DataFrame, toxic: int, n: int) -> list[str]
     return [r["text"] for r in sorted(chosen.collect(), key=lambda r: (r["doc_id"], r["text"]))][:n]
 
 
-def _dictionaries(mine: Counter, theirs: Counter, toxic: list[str], ordinary: list[str]) -> ToxicityModel:
+def _edges(strings: list[str], ordinary: list[str]) -> list[str]:
+    """The longest head and tail of each string that ordinary words hold well beyond the string itself."""
+    words = "".join(f" {w}" for w in sorted({w for t in ordinary for w in windows(t, 1)}))
+    found = set()
+    for g in strings:
+        beyond = EDGE_WORDS + 2 * words.count(g)
+        for parts in ([g[:k] for k in range(len(g) - 1, 1, -1)], [g[k:] for k in range(1, len(g) - 1)]):
+            found.add(next((part for part in parts if words.count(part) >= beyond), ""))
+    return sorted(found - {""})
+
+
+def _dictionaries(groups: list[Group], toxic: list[str], ordinary: list[str]) -> ToxicityModel:
+    strings = telling_strings(groups, toxic)
     # blanks at the end: zstandard doesn't look up a dictionary's last bytes
-    return ToxicityModel(_ordinary_content(ordinary) + "    ", "".join(telling_strings(mine, theirs, toxic, len(ordinary))) + "    ")
+    return ToxicityModel(_ordinary_content(ordinary) + "\0".join(["", *_edges(strings, ordinary), ""]) + "    ", "".join(f"\0{g}" for g in strings))
+
+
+def _added(cells: list[Group]) -> Group:
+    return sum((c[0] for c in cells), Counter()), sum(c[1] for c in cells), sum((c[2] for c in cells), Counter()), sum(c[3] for c in cells)
+
+
+def _halves(toxic: list[str], ordinary: list[str]) -> list[list[Group]]:
+    """Each half's groups of texts."""
+    of = text_groups(toxic + ordinary)
+    sides = ((toxic, of[: len(toxic)]), (ordinary, of[len(toxic) :]))
+    split = [[[[t for t, own in zip(texts[k::2], labels[k::2], strict=True) if own == g] for texts, labels in sides] for g in range(of.max() + 1)] for k in (0, 1)]
+    mine = [[string_counts(toxic) for toxic, _ in half] for half in split]
+    seen = {g for half in mine for counts in half for g, n in counts.items() if n > 1}
+    return [[(c, len(toxic), string_counts(ordinary, seen), len(ordinary)) for c, (toxic, ordinary) in zip(counts, half, strict=True)] for counts, half in zip(mine, split, strict=True)]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
@@ -230,18 +305,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
 def fit_texts(toxic: list[str], ordinary: list[str], shift: float = 0.0) -> ToxicityModel:
     """The model from texts; shift is added to the bias."""
-    mine = [string_counts(toxic[k::2]) for k in (0, 1)]
-    seen = {g for m in mine for g, n in m.items() if n > 1}
-    theirs = [string_counts(ordinary[k::2], seen) for k in (0, 1)]
+    halves = _halves(toxic, ordinary)
     x, y = [], []
     for own, other in ((0, 1), (1, 0)):  # features come from dictionaries that didn't see the text
-        scorer = Scorer(_dictionaries(mine[own], theirs[own], toxic[own::2], ordinary[own::2]))
+        scorer = Scorer(_dictionaries([_added(halves[own]), *halves[own]], toxic[own::2], ordinary[own::2]))
         for truth, texts in ((1.0, toxic[other::2]), (0.0, ordinary[other::2])):
             for vectors in map(scorer.features, texts):
                 x += vectors
                 y += [truth] * len(vectors)
     x, y = np.array(x), np.array(y)
-    model = _dictionaries(mine[0] + mine[1], theirs[0] + theirs[1], toxic, ordinary)
+    whole = [_added(list(pair)) for pair in zip(*halves, strict=True)]
+    model = _dictionaries([_added(whole), *whole], toxic, ordinary)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     weights, bias = _logistic((x - mean) / scale, y)
     return ToxicityModel(model.ordinary, model.toxic, tuple(weights.tolist()), tuple(mean.tolist()), tuple(scale.tolist()), bias + shift)

@@ -307,6 +307,23 @@ def test_toxicity(spark):
     assert {x["__strand_score"] < 0.5 for x in toxicity.score(docs, alone, ["doc_id"]).collect()} == {True}
 
 
+def test_toxicity_of_a_small_language():
+    r = random.Random(4)
+    small = ["".join(r.choices("qxzjkw", k=5)) for _ in range(60)]
+
+    def texts(words, bad, n):
+        drawn = [r.choices(words, k=40) + [r.choice(bad) for _ in bad[:1]] for _ in range(n)]
+        return [" ".join(r.sample(w, len(w))) for w in drawn]
+
+    toxic = [*texts(VOCABULARY, ["vexgorf", "blarzun"], 400), *texts(small, ["olmifen"], 24)]
+    ordinary = [*texts(VOCABULARY, [], 900), *texts(small, [], 160)]
+    r.shuffle(toxic)
+    r.shuffle(ordinary)
+    s = toxicity.fit_texts(toxic, ordinary).scorer()
+    assert sum(s.score(t) >= 0.5 for t in texts(small, ["olmifen"], 20)) >= 18
+    assert sum(s.score(t) >= 0.5 for t in texts(small, [], 60)) <= 3
+
+
 def test_language_mixtures(spark):
     r = random.Random(2)
     make = lambda letters: " ".join("".join(r.choices(letters, k=5)) for _ in range(60))
