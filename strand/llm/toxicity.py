@@ -3,13 +3,14 @@
 Two zstandard dictionaries are trained on labelled text: the ordinary one on windows of
 ordinary texts, the toxic one on the same windows and on the strings that toxic texts
 hold far more often than ordinary ones, among all texts or within one of the groups (mostly
-languages) that are found from the texts' words. Both hold these strings without their first
-and last characters, so that only whole strings save. A window (WINDOW words, lower-cased) is compressed
+languages) that are found from the texts' words. Both hold the longest heads and tails of
+these strings that ordinary words have too, so that those save nothing. A window (WINDOW words, lower-cased) is compressed
 with both; it is toxic by as many bytes as the toxic dictionary saves. Before
 compression every character becomes a fixed code of CODE bytes, so that a match of a few
 characters outweighs the bytes that announce it. A text's largest savings, and the numbers
 of its windows by savings, enter a logistic calibration that is
-fitted across two halves of the training texts, each with the other half's dictionaries.
+fitted across parts of the training texts, each with the other parts' dictionaries. Long
+texts are judged in segments; a text's strongest one counts, in the fit as in the score.
 
 Training reads a bounded sample: TOXIC and ORDINARY labelled texts of at most
 TRAINING_CHARS characters, chosen by a hash of their ids. Scoring reads every whole text.
@@ -52,8 +53,10 @@ EDGE_WORDS = 5
 #: Savings, in bytes, that are counted apart.
 LEAST, MOST = 1, 6
 CACHE_WINDOWS = 500_000
-#: Windows whose savings are judged together; a text's log odds are its segments' mean.
+#: Windows whose savings are judged together; a text's log odds are its strongest segment's.
 SEGMENT = 400
+#: Parts of the training texts whose features come from the other parts' dictionaries; rounds of choosing strongest segments.
+FOLDS, STRONGEST = 4, 5
 
 
 def code_table(seed: int = 7) -> dict[str, bytes]:
@@ -231,7 +234,7 @@ class Scorer:
         m = self.model
         z = m.bias
         if m.weights:
-            z += float((((np.array(self.features(text)) - m.mean) / m.scale) @ np.array(m.weights)).mean())
+            z += float((((np.array(self.features(text)) - m.mean) / m.scale) @ np.array(m.weights)).max())
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -281,14 +284,15 @@ def _added(cells: list[Group]) -> Group:
     return sum((c[0] for c in cells), Counter()), sum(c[1] for c in cells), sum((c[2] for c in cells), Counter()), sum(c[3] for c in cells)
 
 
-def _halves(toxic: list[str], ordinary: list[str]) -> list[list[Group]]:
-    """Each half's groups of texts."""
+def _folds(toxic: list[str], ordinary: list[str]) -> list[list[Group]]:
+    """Each fold's groups of texts."""
     of = text_groups(toxic + ordinary)
     sides = ((toxic, of[: len(toxic)]), (ordinary, of[len(toxic) :]))
-    split = [[[[t for t, own in zip(texts[k::2], labels[k::2], strict=True) if own == g] for texts, labels in sides] for g in range(of.max() + 1)] for k in (0, 1)]
-    mine = [[string_counts(toxic) for toxic, _ in half] for half in split]
-    seen = {g for half in mine for counts in half for g, n in counts.items() if n > 1}
-    return [[(c, len(toxic), string_counts(ordinary, seen), len(ordinary)) for c, (toxic, ordinary) in zip(counts, half, strict=True)] for counts, half in zip(mine, split, strict=True)]
+    split = [[[[t for t, own in zip(texts[k::FOLDS], labels[k::FOLDS], strict=True) if own == g] for texts, labels in sides] for g in range(of.max() + 1)] for k in range(FOLDS)]
+    mine = [[string_counts(toxic) for toxic, _ in fold] for fold in split]
+    total = sum((counts for fold in mine for counts in fold), Counter())
+    seen = {g for g, n in total.items() if n >= LEAST_TEXTS}
+    return [[(Counter({g: n for g, n in c.items() if g in seen}), len(toxic), string_counts(ordinary, seen), len(ordinary)) for c, (toxic, ordinary) in zip(counts, fold, strict=True)] for counts, fold in zip(mine, split, strict=True)]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
@@ -305,19 +309,28 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
 def fit_texts(toxic: list[str], ordinary: list[str], shift: float = 0.0) -> ToxicityModel:
     """The model from texts; shift is added to the bias."""
-    halves = _halves(toxic, ordinary)
-    x, y = [], []
-    for own, other in ((0, 1), (1, 0)):  # features come from dictionaries that didn't see the text
-        scorer = Scorer(_dictionaries([_added(halves[own]), *halves[own]], toxic[own::2], ordinary[own::2]))
-        for truth, texts in ((1.0, toxic[other::2]), (0.0, ordinary[other::2])):
-            for vectors in map(scorer.features, texts):
+    folds = _folds(toxic, ordinary)
+    x, y, of = [], [], []
+    for own in range(FOLDS):  # features come from dictionaries that didn't see the text
+        others = [_added(list(cells)) for cells in zip(*(f for k, f in enumerate(folds) if k != own), strict=True)]
+        rest = [[t for k, t in enumerate(texts) if k % FOLDS != own] for texts in (toxic, ordinary)]
+        scorer = Scorer(_dictionaries([_added(others), *others], *rest))
+        for truth, texts in ((1.0, toxic[own::FOLDS]), (0.0, ordinary[own::FOLDS])):
+            for text in texts:
+                vectors = scorer.features(text)
+                of += [len(y)] * len(vectors)
                 x += vectors
-                y += [truth] * len(vectors)
-    x, y = np.array(x), np.array(y)
-    whole = [_added(list(pair)) for pair in zip(*halves, strict=True)]
+                y.append(truth)
+    x, y, of = np.array(x), np.array(y), np.array(of)
+    whole = [_added(list(cells)) for cells in zip(*folds, strict=True)]
     model = _dictionaries([_added(whole), *whole], toxic, ordinary)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-    weights, bias = _logistic((x - mean) / scale, y)
+    z = (x - mean) / scale
+    weights, bias = _logistic(z, y[of])
+    for _ in range(STRONGEST):  # a text's strongest segment stands for it
+        order = np.lexsort((-(z @ weights), of))
+        strongest = order[np.unique(of[order], return_index=True)[1]]
+        weights, bias = _logistic(z[strongest], y)
     return ToxicityModel(model.ordinary, model.toxic, tuple(weights.tolist()), tuple(mean.tolist()), tuple(scale.tolist()), bias + shift)
 
 

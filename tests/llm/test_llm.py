@@ -324,6 +324,20 @@ def test_toxicity_of_a_small_language():
     assert sum(s.score(t) >= 0.5 for t in texts(small, [], 60)) <= 3
 
 
+def test_toxicity_of_a_passage_in_a_long_text():
+    r = random.Random(6)
+    bad = ["vexgorf", "blarzun", "olmifen", "kwozzy"]
+
+    def text(k, n):
+        w = r.choices(VOCABULARY, k=k)
+        at = r.randrange(k)
+        return " ".join([*w[:at], *r.choices(bad, k=n), *w[at:]])
+
+    s = toxicity.fit_texts([text(40, 4) for _ in range(100)], [text(r.choice((40, 900)), 0) for _ in range(300)]).scorer()
+    assert sum(s.score(text(4000, 10)) >= 0.5 for _ in range(10)) >= 9
+    assert sum(s.score(text(4000, 0)) >= 0.5 for _ in range(10)) <= 1
+
+
 def test_language_mixtures(spark):
     r = random.Random(2)
     make = lambda letters: " ".join("".join(r.choices(letters, k=5)) for _ in range(60))
