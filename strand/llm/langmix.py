@@ -4,8 +4,8 @@ Letters and their two neighbours (blanks where no letter is) form n-grams, hashe
 BUCKETS. Their counts per language come from all training rows: each task adds up arrays,
 and only (language, bucket, count) is shuffled. A word's likelihood under a language is
 the product over its letters. For each text, expectation-maximisation estimates the
-languages' shares of its words; then the language sets made of the largest shares are
-refitted, and the set with the best likelihood, less PENALTY times log(words) per further
+languages' shares of its words; then the language sets made of the largest shares, up to
+all languages, are refitted, and the set with the best likelihood, less PENALTY times log(words) per further
 language, is selected. The prediction is the selected set's largest share.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; training
@@ -30,8 +30,6 @@ BUCKETS = 1 << 14
 SMOOTHING = 0.5
 ROUNDS, REFITS = 12, 6
 PENALTY = 2.0
-#: Languages in the largest set that is tried.
-LARGEST_SET = 4
 #: Characters handled at a time (longer texts one by one).
 BLOCK = 1 << 20
 UNDETERMINED = "und"
@@ -137,7 +135,7 @@ def mixtures(texts: list[str], model: LanguageModel) -> list[tuple[str, float, l
     order = np.argsort(-full, axis=1, kind="stable")
     rank = np.argsort(order, axis=1, kind="stable")
     best, kept = np.full(len(which), -np.inf), np.zeros_like(full)
-    for k in range(1, min(size, LARGEST_SET) + 1):
+    for k in range(1, size + 1):
         start = np.where(rank < k, np.maximum(full, 1e-6), 0.0)
         shares, fit_ = _em(likes, begin, local, n, start / start.sum(axis=1, keepdims=True), REFITS if k > 1 else 0)
         value = fit_ - PENALTY * (k - 1) * np.log(n + 1)

@@ -354,6 +354,16 @@ def test_language_mixtures(spark):
     assert {x["lang_pred"] for x in langmix.identify(docs, none).collect()} == {"und"}
 
 
+def test_language_mixture_of_six(spark):
+    r = random.Random(3)
+    make = lambda letters, k=60: " ".join("".join(r.choices(letters, k=5)) for _ in range(k))
+    kinds = {"aa": "abcd", "bb": "efgh", "cc": "ijkl", "dd": "mnop", "ee": "qrst", "ff": "uvwx"}
+    docs = spark.createDataFrame([(k, make(kinds[lang]), lang) for k, lang in enumerate([*kinds] * 20)], "doc_id long, text string, lang string")
+    model = langmix.fit(docs)
+    [(_, score, languages)] = langmix.mixtures([" ".join(make(v) for v in kinds.values())], model)
+    assert {x for x, _ in languages} == set(kinds) and score == pytest.approx(1 / 6, abs=0.02)
+
+
 def test_pipeline_is_its_operators_in_turn(spark, tmp_path):
     import corpus_pipeline
 
