@@ -3,7 +3,8 @@
 The longest rule that fits a URL decides it. URLs that rules decide train two smoothed
 variable-order Markov models, one of accepted and one of rejected URLs: the probability
 of a character after a context of up to ORDER - 1 characters is its count there, smoothed
-by the probability after the context's tail. All such URLs are counted. A URL without a
+by the probability after the context's tail. N-grams seen once and the URLs left out for
+the threshold (below) aren't counted, in the final models either. A URL without a
 rule gets the difference of the two log-likelihoods divided by its length; each character
 uses the longest of its n-grams that training met. As the difference at order k is the
 one at order k - 1 plus a correction, a URL's score is one sum over matching n-grams. The
