@@ -1,30 +1,39 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text: the ordinary one on windows of
-ordinary texts, the toxic one on the same windows and on the strings that toxic texts
-hold far more often than ordinary ones, among all texts or within one of the groups (mostly
-languages) that are found from the texts' words. Both hold the longest heads and tails of
-these strings that ordinary words have too, so that those save nothing. A window (WINDOW words, lower-cased) is compressed
-with both; it is toxic by as many bytes as the toxic dictionary saves. Before
-compression every character becomes a fixed code of CODE bytes, so that a match of a few
-characters outweighs the bytes that announce it. A text's largest savings, and the numbers
-of its windows by savings, enter a logistic calibration that is
-fitted across parts of the training texts, each with the other parts' dictionaries. Long
-texts are judged in segments; a text's strongest one counts, in the fit as in the score.
+Two zstandard dictionaries are trained, one on the windows (WINDOW words, lower-cased) of
+toxic texts, one on those of ordinary texts. A window is compressed with either, and it is
+toxic by as many bytes as the toxic one saves. Labels belong to texts, and most windows of
+a toxic text are ordinary language, so training goes in rounds: the dictionaries of other
+texts measure every window, and the toxic dictionary of the next round is trained on the
+toxic texts' windows that save so much as is LIFT times commoner in toxic than in ordinary
+texts, the ordinary one on the ordinary texts' windows that do so wrongly. Behind either
+lies the same background, a dictionary trained on all windows of the ordinary texts, so
+that the language that both share costs the same. Nothing but zstandard's own training
+chooses what a dictionary holds. Before compression every character becomes a fixed code
+of CODE bytes, so that a match of a few characters outweighs the bytes that announce it.
+
+A text is judged in segments of SEGMENT windows: the savings of a segment's different
+windows (largest, mean, how many save so much) enter a logistic calibration, and the text's
+strongest segment counts, in the fit as in the score. The calibration sees each training
+text measured by dictionaries of the other texts. The threshold, which becomes score 0.5,
+is where most of the toxic ones and fewest of the ordinary ones lie above, with at most
+CLEAN_LOST of the ordinary ones; both are read from the same held-apart measures.
 
 Training reads a bounded sample: TOXIC and ORDINARY labelled texts of at most
-TRAINING_CHARS characters, chosen by a hash of their ids. Scoring reads every whole text.
+TRAINING_CHARS characters, chosen by a hash of their ids. Scoring reads every whole text,
+however long.
 
 Defined cases: null and empty texts have no windows and get the calibrated score of no
-savings; without labels of both kinds every score is the share of toxic labels (0 without
-any); rows with a null id are never trained on; repeated rows stay; an empty table gives
-an empty result.
+savings; without two texts of both labels every score is the share of toxic labels (0
+without any); rows with a null id are never trained on; repeated rows stay, each scored;
+equal savings are equal, and of a text's equally strong segments any one counts; an empty
+table gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations
 
 import random
-from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,28 +44,26 @@ from pyspark.sql import types as T
 
 from .common import crc_mod, ship
 
-TOXIC, ORDINARY, TRAINING_CHARS = 1000, 2000, 20_000
-WINDOW = 1
+TOXIC, ORDINARY, TRAINING_CHARS = 2000, 3000, 20_000
+WINDOW = 3
 CODE = 3
-LEVEL = 19
-DICTIONARY = 4096
-#: Lengths of strings whose shares of a group's texts are compared; the least toxic texts with one, how many times
-#: likelier it is in toxic ones, and twice the log-likelihood ratio of that.
-GRAMS = (4, 5, 6, 8)
-LEAST_TEXTS, RATIO, SURPRISE = 4, 8, 25
-#: Frequent words that group the texts, and the cosine under which two long texts are of different groups.
-PROFILE, ALIKE = 500, 0.5
-#: Texts of a group; those of smaller ones go to the nearest others.
-LEAST_GROUP = 20
-#: Ordinary words with an edge of a toxic string, at least, for the ordinary dictionary to hold that edge.
-EDGE_WORDS = 5
+LEVEL = 3
+#: Characters of the background, of the first round's dictionaries, and of the later rounds'.
+BACKGROUND, FIRST, SHARP = 32_768, 8_192, 4_096
+#: zstandard's segment and d-mer lengths for the background and the first round, and for the later rounds.
+WIDE, NARROW = (16, 6), (8, 8)
+ROUNDS = 3
+#: How many times commoner a saving is in windows of toxic texts, for windows that save so much to be trained on.
+LIFT = 8.0
 #: Savings, in bytes, that are counted apart.
-LEAST, MOST = 1, 6
-CACHE_WINDOWS = 500_000
-#: Windows whose savings are judged together; a text's log odds are its strongest segment's.
+MOST = 12
+#: Windows that are judged together.
 SEGMENT = 400
-#: Parts of the training texts whose features come from the other parts' dictionaries; rounds of choosing strongest segments.
+#: Parts of the training texts, measured with the other parts' dictionaries; rounds of choosing strongest segments.
 FOLDS, STRONGEST = 4, 5
+#: Share of ordinary training texts that may lie above the threshold.
+CLEAN_LOST = 0.1
+CACHE_WORDS, LONGEST_KEPT = 300_000, 40
 
 
 def code_table(seed: int = 7) -> dict[str, bytes]:
@@ -70,104 +77,68 @@ def code_table(seed: int = 7) -> dict[str, bytes]:
     return Codes()
 
 
-def windows(text: str | None, size: int = WINDOW) -> list[str]:
-    words = (text or "").lower().split()
-    return words if size == 1 else [" ".join(words[i : i + size]) for i in range(0, len(words), size)]
+class Coder(dict):
+    """A text's windows as coded bytes: each word with the blank before it, and a blank at the end.
 
+    As a dictionary, the words' codes; those of up to LONGEST_KEPT characters are kept, up to CACHE_WORDS.
+    """
 
-def _strings(word: str) -> set[str]:
-    padded = f" {word}"
-    return {padded[i : i + n] for n in GRAMS for i in range(len(padded) - n + 1)}
+    def __init__(self):
+        self.codes = code_table()
+        self.blank = self.coded(" ")
 
+    def __missing__(self, word: str) -> bytes:
+        out = self.coded(f" {word}")
+        if len(word) <= LONGEST_KEPT:
+            self[word] = out
+        return out
 
-def string_counts(texts: list[str], only: set[str] | None = None) -> Counter:
-    """In how many of the texts each string occurs."""
-    counts: Counter = Counter()
-    of_word: dict[str, set[str]] = {}
-    for text in texts:
-        found: set[str] = set()
-        for word in set(windows(text, 1)):
-            strings = of_word.get(word)
-            if strings is None:
-                strings = of_word[word] = _strings(word) if only is None else _strings(word) & only
-            found |= strings
-        counts.update(found)
-    return counts
+    def coded(self, text: str) -> bytes:
+        return b"".join(map(self.codes.__getitem__, text))
 
+    def windows(self, text: str | None) -> list[bytes]:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        own = [self[w] for w in (text or "").lower().split()]
+        own += [b""] * (-len(own) % WINDOW)
+        return [b"".join((*w, self.blank)) for w in zip(*[iter(own)] * WINDOW, strict=True)]
 
-def text_groups(texts: list[str]) -> np.ndarray:
-    """A group for each text, found from its words alone: texts whose frequent words agree (languages, mostly).
 
-    The longest texts that are unlike each other are the first centres; spherical k-means goes on from there.
-    """
-    counts = [Counter(windows(t, 1)) for t in texts]
-    common = Counter(w for c in counts for w in c)
-    at = {w: i for i, (w, _) in enumerate(sorted(common.items(), key=lambda x: (-x[1], x[0]))[:PROFILE])}
-    x = np.zeros((len(texts), len(at)))
-    for i, c in enumerate(counts):
-        for w, n in c.items():
-            if w in at:
-                x[i, at[w]] = np.sqrt(n)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    centres: list[np.ndarray] = []
-    for i in sorted(range(len(texts)), key=lambda i: (-sum(counts[i].values()), i)):
-        if x[i].any() and all(x[i] @ c < ALIKE for c in centres):
-            centres.append(x[i])
-    if not centres:
-        return np.zeros(len(texts), int)
-    c = np.array(centres)
-    for _ in range(10):
-        of = (x @ c.T).argmax(axis=1)
-        sizes = np.bincount(of, minlength=len(c))
-        sums = np.array([x[of == k].sum(axis=0) for k in np.flatnonzero(sizes >= min(LEAST_GROUP, sizes.max()))])
-        c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    return (x @ c.T).argmax(axis=1)
-
-
-def _surprise(n: int, of: int, m: int, out_of: int) -> float:
-    """Twice the log-likelihood ratio of n in `of` texts and m in out_of having different rates."""
-    both, all_ = n + m, of + out_of
-    terms = ((n, of * both), (of - n, of * (all_ - both)), (m, out_of * both), (out_of - m, out_of * (all_ - both)))
-    return 2 * sum(k * np.log(k * all_ / e) for k, e in terms if k)
-
-
-#: Texts that hold each string, and all texts, of the toxic and the ordinary ones of a group.
-Group = tuple[Counter, int, Counter, int]
-
-
-def telling_strings(groups: list[Group], toxic: list[str]) -> list[str]:
-    """Strings far more frequent in toxic texts of a group, the most telling one of each word, rarest first."""
-    held: Counter = Counter()
-    for mine, of, theirs, out_of in groups:
-        for g, n in mine.items():
-            if n >= LEAST_TEXTS and n * (out_of + 1) >= RATIO * (theirs[g] + 1) * of and _surprise(n, of, theirs[g], out_of) >= SURPRISE:
-                held[g] = max(held[g], n)
-    best: Counter = Counter()
-    of_word: dict[str, str | None] = {}
-    for text in toxic:
-        for word in windows(text, 1):
-            if word not in of_word:
-                of_word[word] = max((g for g in _strings(word) if g in held), key=lambda g: (held[g] * (len(g) - 2), g), default=None)
-            best[of_word[word]] += 1
-    best.pop(None, None)
-    return [g for g, n in sorted(best.items(), key=lambda x: (x[1], x[0])) if n >= LEAST_TEXTS]
-
-
-def _ordinary_content(texts: list[str]) -> str:
+def plain_windows(text: str | None) -> list[str]:
+    """The same windows as text."""
+    words = (text or "").lower().split()
+    return [f" {' '.join(words[i : i + WINDOW])} " for i in range(0, len(words), WINDOW)]
+
+
+def dictionary(windows: Iterable[str], size: int, shape: tuple[int, int]) -> str:
+    """What a zstandard dictionary trained on the windows holds, the most useful last."""
     import zstandard
 
-    samples = [(" " + w).encode() for t in texts for w in windows(t, 4)]
+    samples = [w.encode() for w in windows]
     try:
-        raw = zstandard.train_dictionary(DICTIONARY, samples, k=32, d=6).as_bytes()
+        raw = zstandard.train_dictionary(size, samples, k=shape[0], d=shape[1]).as_bytes()
+        raw = raw[_content_at(raw) :]
     except zstandard.ZstdError:  # too little text to train on
         raw = b"".join(samples)
-    return raw[-(DICTIONARY - 200) :].decode("utf-8", "ignore")
+    return raw[-size:].decode("utf-8", "ignore")
+
+
+def _content_at(raw: bytes) -> int:
+    """Where a trained dictionary's content begins: behind its entropy tables (some 100 to 300 bytes)."""
+    import zstandard
+
+    low, high = 8, min(len(raw), 1024)
+    for at in range(low, high):  # the three repeat offsets, 1, 4 and 8, end the tables
+        if raw[at : at + 12] == b"\1\0\0\0\4\0\0\0\10\0\0\0":
+            return at + 12
+    return min(len(raw), 300) if zstandard.ZstdCompressionDict(raw).dict_id() else 0
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
     ordinary: str
     toxic: str
+    background: str = ""
     weights: tuple[float, ...] = ()
     mean: tuple[float, ...] = ()
     scale: tuple[float, ...] = ()
@@ -181,66 +152,53 @@ class ToxicityModel:
 
 
 class Scorer:
-    """Savings of windows, kept between texts and tasks up to CACHE_WINDOWS."""
+    """Savings of windows, with the words' codes kept between texts and tasks."""
 
-    def __init__(self, model: ToxicityModel):
+    def __init__(self, model: ToxicityModel, coder: Coder | None = None):
         import zstandard
 
-        self.model, self.codes, self.cache = model, code_table(), {}
+        self.model, self.coder = model, coder or Coder()
         parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
 
         def compressor(content: str):
-            dictionary = zstandard.ZstdCompressionDict(self.coded(content), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            dictionary.precompute_compress(compression_params=parameters)
-            return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=parameters).compress
+            own = zstandard.ZstdCompressionDict(self.coder.coded(content + model.background), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            own.precompute_compress(compression_params=parameters)
+            return zstandard.ZstdCompressor(dict_data=own, compression_params=parameters).multi_compress_to_buffer
 
-        self.lengths = (compressor(model.ordinary), compressor(model.toxic + model.ordinary)) if model.toxic else None
+        self.lengths = (compressor(model.ordinary), compressor(model.toxic)) if model.toxic else None
 
-    def coded(self, text: str) -> bytes:
-        return b"".join(map(self.codes.__getitem__, text))
+    def savings(self, windows: list[bytes]) -> np.ndarray:
+        """Bytes that the toxic dictionary saves on each coded window."""
+        if self.lengths is None or not windows:
+            return np.zeros(len(windows), dtype=np.int64)
+        ordinary, toxic = (np.array([len(x) for x in f(windows)], dtype=np.int64) for f in self.lengths)
+        return ordinary - toxic
 
-    def savings(self, different: list[str]) -> np.ndarray:
-        if self.lengths is None:
-            return np.empty(0)
-        ordinary, toxic = self.lengths
-        out, cache = [], self.cache
-        for w in different:
-            saved = cache.get(w)
-            if saved is None:
-                raw = self.coded(f" {w}")
-                saved = len(ordinary(raw)) - len(toxic(raw))
-                if len(w) <= 40:
-                    if len(cache) >= CACHE_WINDOWS:
-                        cache.clear()
-                    cache[w] = saved
-            out.append(saved)
-        return np.array(out, dtype=np.float64)
-
-    def features(self, text: str | None) -> list[np.ndarray]:
-        """One vector for each SEGMENT windows of the text, over its different windows."""
-        all_windows = windows(text)
-        return [self._vector(list(dict.fromkeys(all_windows[at : at + SEGMENT]))) for at in range(0, max(1, len(all_windows)), SEGMENT)]
-
-    def _vector(self, different: list[str]) -> np.ndarray:
-        """The largest savings, their mean, the windows' number, how many save anything, and how many so much."""
-        d = self.savings(different)
-        if not len(d):
-            return np.zeros(5 + MOST - LEAST + 1)
-        top = np.partition(d, -3)[-3:] if len(d) > 3 else d
-        by = np.bincount(np.clip(d, 0, MOST).astype(int), minlength=MOST + 1)[LEAST:]
-        return np.array([d.max(), top.mean(), d.mean(), np.log1p(len(d)), np.log1p(by.sum()), *np.log1p(by)])
+    def features(self, text: str | None) -> np.ndarray:
+        """A row for each segment of the text, over its different windows."""
+        windows = self.coder.windows(text)
+        parts = [list(dict.fromkeys(windows[at : at + SEGMENT])) for at in range(0, max(1, len(windows)), SEGMENT)]
+        return np.array([vector(self.savings(part)) for part in parts])
 
     def score(self, text: str | None) -> float:
         m = self.model
         z = m.bias
         if m.weights:
-            z += float((((np.array(self.features(text)) - m.mean) / m.scale) @ np.array(m.weights)).max())
+            z += float((((self.features(text) - m.mean) / m.scale) @ np.array(m.weights)).max())
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
 _SCORERS: dict[ToxicityModel, Scorer] = {}
 
 
+def vector(d: np.ndarray) -> list[float]:
+    """The largest savings, their mean, the windows' number, how many save so much, and which savings occur."""
+    if not len(d):
+        d = np.zeros(1, dtype=np.int64)
+    upto = np.bincount(np.clip(d, 0, MOST), minlength=MOST + 1)[::-1].cumsum()[::-1][1:]
+    return [float(d.max()), float(np.sort(d)[-3:].mean()), float(d.mean()), float(np.log1p(len(d))), *np.log1p(upto), *np.minimum(upto[3::2], 1)]
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and bias by Newton steps with a ridge on the weights."""
     a = np.column_stack((x, np.ones(len(x))))
@@ -263,83 +221,103 @@ def _sample(docs: DataFrame, labels: DataFrame, toxic: int, n: int) -> list[str]
     return [r["text"] for r in sorted(chosen.collect(), key=lambda r: (r["doc_id"], r["text"]))][:n]
 
 
-def _edges(strings: list[str], ordinary: list[str]) -> list[str]:
-    """The longest head and tail of each string that ordinary words hold well beyond the string itself."""
-    words = "".join(f" {w}" for w in sorted({w for t in ordinary for w in windows(t, 1)}))
-    found = set()
-    for g in strings:
-        beyond = EDGE_WORDS + 2 * words.count(g)
-        for parts in ([g[:k] for k in range(len(g) - 1, 1, -1)], [g[k:] for k in range(1, len(g) - 1)]):
-            found.add(next((part for part in parts if words.count(part) >= beyond), ""))
-    return sorted(found - {""})
+@dataclass
+class _Side:
+    """The texts of one label: each one's fold, and the windows that dictionaries are trained on."""
+
+    texts: list[str]
+
+    def __post_init__(self):
+        self.fold = np.arange(len(self.texts)) % FOLDS
+        self.chosen: list[list[str]] | None = None  # all windows
+
+    def windows(self, without: int | None = None) -> Iterator[str]:
+        for i, text in enumerate(self.texts):
+            if self.fold[i] != without:
+                yield from dict.fromkeys(plain_windows(text)) if self.chosen is None else self.chosen[i]
+
+    def measure(self, scorers: list[Scorer]) -> list[np.ndarray]:
+        """Savings of each text's different windows, by the scorer of its fold."""
+        return [scorers[f].savings(list(dict.fromkeys(scorers[f].coder.windows(t)))) for t, f in zip(self.texts, self.fold, strict=True)]
+
+    def choose(self, measured: list[np.ndarray], least: int) -> None:
+        self.chosen = [[w for w, d in zip(dict.fromkeys(plain_windows(t)), m, strict=True) if d >= least] for t, m in zip(self.texts, measured, strict=True)]
 
 
-def _dictionaries(groups: list[Group], toxic: list[str], ordinary: list[str]) -> ToxicityModel:
-    strings = telling_strings(groups, toxic)
-    # blanks at the end: zstandard doesn't look up a dictionary's last bytes
-    return ToxicityModel(_ordinary_content(ordinary) + "\0".join(["", *_edges(strings, ordinary), ""]) + "    ", "".join(f"\0{g}" for g in strings))
+def _least_saving(toxic: np.ndarray, ordinary: np.ndarray) -> int:
+    """The least saving that is LIFT times commoner among toxic texts' windows; the one nearest to that if none is."""
+    lifts = {v: (toxic >= v).mean() / max((ordinary >= v).mean(), 1 / len(ordinary)) for v in range(1, 4 * MOST)}
+    return next((v for v, lift in lifts.items() if lift >= LIFT), max(lifts, key=lifts.get))
 
 
-def _added(cells: list[Group]) -> Group:
-    return sum((c[0] for c in cells), Counter()), sum(c[1] for c in cells), sum((c[2] for c in cells), Counter()), sum(c[3] for c in cells)
+def _dictionaries(toxic: _Side, ordinary: _Side, background: str, first: bool, without: int | None = None) -> ToxicityModel:
+    size, shape = (FIRST, WIDE) if first else (SHARP, NARROW)
+    return ToxicityModel(dictionary(ordinary.windows(without), size, shape), dictionary(toxic.windows(without), size, shape) or " ", background)
 
 
-def _folds(toxic: list[str], ordinary: list[str]) -> list[list[Group]]:
-    """Each fold's groups of texts."""
-    of = text_groups(toxic + ordinary)
-    sides = ((toxic, of[: len(toxic)]), (ordinary, of[len(toxic) :]))
-    split = [[[[t for t, own in zip(texts[k::FOLDS], labels[k::FOLDS], strict=True) if own == g] for texts, labels in sides] for g in range(of.max() + 1)] for k in range(FOLDS)]
-    mine = [[string_counts(toxic) for toxic, _ in fold] for fold in split]
-    total = sum((counts for fold in mine for counts in fold), Counter())
-    seen = {g for g, n in total.items() if n >= LEAST_TEXTS}
-    return [[(Counter({g: n for g, n in c.items() if g in seen}), len(toxic), string_counts(ordinary, seen), len(ordinary)) for c, (toxic, ordinary) in zip(counts, fold, strict=True)] for counts, fold in zip(mine, split, strict=True)]
+def calibrated_threshold(z: np.ndarray, y: np.ndarray) -> float:
+    """Where the toxic share above exceeds the ordinary one by most, the ordinary one being CLEAN_LOST at most."""
+    order = np.argsort(-z, kind="stable")
+    found, lost = np.cumsum(y[order]) / max(1, y.sum()), np.cumsum(1 - y[order]) / max(1, (1 - y).sum())
+    last = np.append(np.diff(z[order]) != 0, True)  # ties lie on one side
+    gain = np.where(last & (lost <= CLEAN_LOST), found - lost, -1.0)
+    best = int(gain.argmax())
+    if gain[best] <= 0:
+        return float(z.max()) + 1e-6
+    return float(z[order][best] if best + 1 == len(z) else (z[order][best] + z[order][best + 1]) / 2)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """docs: doc_id, text; labels: doc_id, toxic."""
-    toxic, ordinary = (_sample(docs, labels, k, n) for k, n in ((1, TOXIC), (0, ORDINARY)))
-    share = len(toxic) / max(1, len(toxic) + len(ordinary))
-    if len(toxic) < 2 or len(ordinary) < 2:
-        return ToxicityModel("", "", bias=float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    # the sample holds more toxic texts than the labels do; the bias returns to their share
-    counts = {r["toxic"]: r["n"] for r in labels.where(crc_mod("doc_id", 5) != 0).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    shift = float(np.log(counts[1] / counts[0]) - np.log(len(toxic) / len(ordinary)))
-    return fit_texts(toxic, ordinary, shift)
+    return fit_texts(*(_sample(docs, labels, k, n) for k, n in ((1, TOXIC), (0, ORDINARY))))
 
 
-def fit_texts(toxic: list[str], ordinary: list[str], shift: float = 0.0) -> ToxicityModel:
-    """The model from texts; shift is added to the bias."""
-    folds = _folds(toxic, ordinary)
+def fit_texts(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
+    if len(toxic) < 2 or len(ordinary) < 2:
+        share = len(toxic) / max(1, len(toxic) + len(ordinary))
+        return ToxicityModel("", "", bias=float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
+    bad, good, coder = _Side(toxic), _Side(ordinary), Coder()
+    backgrounds = [dictionary(good.windows(k), BACKGROUND, WIDE) for k in range(FOLDS)]
+    background = dictionary(good.windows(), BACKGROUND, WIDE)
+    for r in range(ROUNDS + 1):
+        scorers = [Scorer(_dictionaries(bad, good, backgrounds[k], r == 0, k), coder) for k in range(FOLDS)]
+        if r == ROUNDS:
+            break
+        measured = bad.measure(scorers), good.measure(scorers)
+        least = _least_saving(*(np.concatenate([*m, np.zeros(1, np.int64)]) for m in measured))
+        bad.choose(measured[0], least)
+        good.choose(measured[1], least)
     x, y, of = [], [], []
-    for own in range(FOLDS):  # features come from dictionaries that didn't see the text
-        others = [_added(list(cells)) for cells in zip(*(f for k, f in enumerate(folds) if k != own), strict=True)]
-        rest = [[t for k, t in enumerate(texts) if k % FOLDS != own] for texts in (toxic, ordinary)]
-        scorer = Scorer(_dictionaries([_added(others), *others], *rest))
-        for truth, texts in ((1.0, toxic[own::FOLDS]), (0.0, ordinary[own::FOLDS])):
-            for text in texts:
-                vectors = scorer.features(text)
-                of += [len(y)] * len(vectors)
-                x += vectors
-                y.append(truth)
-    x, y, of = np.array(x), np.array(y), np.array(of)
-    whole = [_added(list(cells)) for cells in zip(*folds, strict=True)]
-    model = _dictionaries([_added(whole), *whole], toxic, ordinary)
+    for side, truth in ((bad, 1.0), (good, 0.0)):
+        for text, k in zip(side.texts, side.fold, strict=True):
+            rows = scorers[k].features(text)
+            of += [len(y)] * len(rows)
+            x.append(rows)
+            y.append(truth)
+    x, y, of = np.concatenate(x), np.array(y), np.array(of)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     z = (x - mean) / scale
-    weights, bias = _logistic(z, y[of])
+    weights, _ = _logistic(z, y[of])
     for _ in range(STRONGEST):  # a text's strongest segment stands for it
         order = np.lexsort((-(z @ weights), of))
         strongest = order[np.unique(of[order], return_index=True)[1]]
-        weights, bias = _logistic(z[strongest], y)
-    return ToxicityModel(model.ordinary, model.toxic, tuple(weights.tolist()), tuple(mean.tolist()), tuple(scale.tolist()), bias + shift)
+        weights, _ = _logistic(z[strongest], y)
+    value = np.full(len(y), -np.inf)
+    np.maximum.at(value, of, z @ weights)
+    model = _dictionaries(bad, good, background, ROUNDS == 0)
+    return ToxicityModel(model.ordinary, model.toxic, background, tuple(weights.tolist()), tuple(mean.tolist()), tuple(scale.tolist()), -calibrated_threshold(value, y))
 
 
-def _scores(model: ToxicityModel):
+def _scores(model: ToxicityModel, text: str, keep: list[str], below: float | None):
     def run(batches):
         scorer = model.scorer()
         for batch in batches:
-            scores = [scorer.score(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], [*batch.schema.names[1:], "__strand_score"])
+            scores = np.array([scorer.score(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()], dtype=np.float64)
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            if below is None:
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(scores)], [*keep, "__strand_score"])
+            else:
+                yield pa.RecordBatch.from_arrays(kept, keep).filter(pa.array(scores < below))
 
     return run
 
@@ -347,12 +325,16 @@ def _scores(model: ToxicityModel):
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str], text: str = "text") -> DataFrame:
     """The columns in keep, and `__strand_score`."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(text).alias("__strand_text"), *keep)
-    return rows.mapInArrow(_scores(model), T.StructType([*rows.schema.fields[1:], T.StructField("__strand_score", T.DoubleType())]))
+    rows = docs.select(*dict.fromkeys([*keep, text]))
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("__strand_score", T.DoubleType())])
+    return rows.mapInArrow(_scores(model, text, keep, None), schema)
 
 
 def toxicity_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, fit(docs, labels), docs.columns).where(F.col("__strand_score") < 0.5).select(*docs.columns)
+    """The rows of docs whose text scores below 0.5; each row crosses to Python once and comes back if it stays."""
+    model = fit(docs, labels)
+    ship(docs.sparkSession)
+    return docs.mapInArrow(_scores(model, "text", docs.columns, 0.5), docs.schema)
 
 
 def op9_toxicity(spark, sf_dir) -> DataFrame:
