@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import saved, ship
-from .tokens import file_encoder
+from .tokens import text_encoder, tokenizer_text
 
 WINDOW = 2048
 END = 1
@@ -91,9 +91,9 @@ def plan_table(plan: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.nd
     return {k: np.array(v, dtype=np.int64) for k, v in table.items()}
 
 
-def _cut(path: str, window: int, end: int):
+def _cut(model: str, window: int, end: int):
     def run(batches):
-        encoder = file_encoder(path, words=True)
+        encoder = text_encoder(model, words=True)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
@@ -136,7 +136,7 @@ def cut_pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END,
     """(id, start, length, doc_tokens, ids binary, uid): the pieces, written; uid's upper bits are the block that wrote it."""
     ship(docs.sparkSession)
     schema = T.StructType([T.StructField("id", docs.schema[doc_id].dataType), *(T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens")), T.StructField("ids", T.BinaryType())])
-    pieces = docs.select(doc_id, text).mapInArrow(_cut(path, window, end), schema)
+    pieces = docs.select(doc_id, text).mapInArrow(_cut(tokenizer_text(path), window, end), schema)
     return saved(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
 
 

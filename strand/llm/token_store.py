@@ -21,29 +21,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import broadcast_checked, scratch_path, ship
-from .tokens import file_encoder
+from .tokens import text_encoder, tokenizer_text
 
 END = 2
 BATCH = 256
+#: Documents of a file, about; a count that Parquet's footers answer.
+FILE_ROWS = 100_000
 ROW_GROUP = 16 << 20
 PAGE = 256 << 10
 #: Packed ids hardly compress further at higher levels.
 ZSTD_LEVEL = 1
 
 
-def _encode(path: str, end: int):
+def _encode(model: str, end: int):
+    last = end.to_bytes(4, "little")
+
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, part, before = file_encoder(path), TaskContext.get().partitionId(), 0
-        last = np.array([end], dtype=np.int32)
+        encoder, part, before = text_encoder(model), TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 piece = batch.slice(at, BATCH)
-                ids = [np.frombuffer(x, dtype=np.int32) for x in encoder.encode_many([t or "" for t in piece.column(1).to_pylist()])]
-                sizes = np.array([len(x) + 1 for x in ids], dtype=np.int64)
+                ids = encoder.encode_many([t or "" for t in piece.column(1).to_pylist()])
+                sizes = np.array([len(x) // 4 + 1 for x in ids], dtype=np.int64)
                 ends = np.cumsum(sizes)
-                flat = np.concatenate([y for x in ids for y in (x, last)]) if ids else last[:0]
+                flat = np.frombuffer(b"".join([y for x in ids for y in (x, last)]), dtype=np.int32)
                 starts = before + ends - sizes
                 before += int(ends[-1]) if len(ends) else 0
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(flat))
@@ -55,11 +58,11 @@ def _encode(path: str, end: int):
 def write_tokens(docs: DataFrame, tokenizer: str, out: str, end: int = END, encoding: str = "delta", row_group: int = ROW_GROUP, page: int = PAGE, doc_id: str = "doc_id", text: str = "text") -> None:
     """Writes the token files to `out`; encoding: "delta" or "dictionary" for the token ids."""
     ship(docs.sparkSession)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // FILE_ROWS))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *(T.StructField(c, T.LongType()) for c in ("part", "part_start", "n_tokens")), T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
     (
-        rows.mapInArrow(_encode(tokenizer, end), schema)
+        rows.mapInArrow(_encode(tokenizer_text(tokenizer), end), schema)
         .write.option("compression", "zstd")
         .option("parquet.compression.codec.zstd.level", ZSTD_LEVEL)
         .option("parquet.writer.version", "v2")

@@ -10,14 +10,17 @@ Two ways of cutting a text into pieces that the tokenizer never joins:
 A text's ids are its pieces' ids in order (tests compare whole texts). Each worker keeps
 the ids of the pieces it has met, up to CACHE_PIECES, and starts afresh beyond that. New
 pieces are encoded together, as one text, and told apart by the tokens that begin (or
-end) a piece. Texts with any other white space are encoded as they are.
+end) a piece. Texts with any other white space, or with one of the tokenizer's special
+strings, are encoded as they are.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import zlib
 from array import array
+from pathlib import Path
 
 import numpy as np
 
@@ -32,13 +35,15 @@ _RUNS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ \nA-Za-z0-9À-ÖØ
 _OTHER_SPACE = re.compile(r"[^\S \n]").search
 _NOT_LATIN = re.compile(r"[^\n -&(-~À-ÿ]").search
 _WORDS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^ \na-z0-9ß-öø-ÿ]+").findall
-_ENCODERS: dict[tuple[str, bool], "PieceEncoder"] = {}
+_ENCODERS: dict[tuple[int, int, bool], "PieceEncoder"] = {}
 
 
 class PieceEncoder:
     def __init__(self, tokenizer, words: bool = False):
         self.tokenizer, self.words = tokenizer, words
         self.cache: dict[str, bytes] = {}
+        #: Strings that the tokenizer takes for one token wherever they stand; texts that hold one are encoded whole.
+        self.specials = sorted({c.lower() if words else c for c in (t.content for t in tokenizer.get_added_tokens_decoder().values())})
         vocabulary = tokenizer.get_vocab()
         #: Which tokens end a word, or begin with a blank.
         self.marks = np.zeros(max(vocabulary.values(), default=-1) + 1, dtype=bool)
@@ -85,8 +90,11 @@ class PieceEncoder:
 
     def _pieces(self, text: str) -> tuple[bool, list[str] | None]:
         """Whether the pieces are single words, and the pieces; None: the text is encoded as it is."""
+        lowered = text.lower() if self.words else text
+        if any(special in lowered for special in self.specials):
+            return False, None
         if not _NOT_LATIN(text):
-            return True, _WORDS(text.lower()) if self.words else _RUNS(text)
+            return True, _WORDS(lowered) if self.words else _RUNS(text)
         if _OTHER_SPACE(text):
             return False, None
         return False, text.split() if self.words else _SPACED(text)
@@ -94,16 +102,26 @@ class PieceEncoder:
     def _encode_some(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
-        cache, long = self.cache, []
-        cuts = list(map(self._pieces, texts))
-        for cut in (True, False):
-            new = list(set().union(*(pieces for c, pieces in cuts if c == cut and pieces)).difference(cache))
-            if new:
-                cache.update(self._learn(new, cut))
-                long += [p for p in new if len(p) > LONGEST_KEPT]
-        out = [self._raw([text])[0] if pieces is None else b"".join(map(cache.__getitem__, pieces)) for text, (_, pieces) in zip(texts, cuts, strict=True)]
-        for piece in long:
-            del cache[piece]
+        get, out, open_ = self.cache.get, [], []
+        new: dict[bool, set[str]] = {True: set(), False: set()}
+        for i, text in enumerate(texts):
+            cut, pieces = self._pieces(text)
+            if pieces is None:
+                out.append(self._raw([text])[0])
+                continue
+            ids = list(map(get, pieces))
+            try:
+                out.append(b"".join(ids))
+            except TypeError:  # some pieces are new
+                new[cut].update([p for p, x in zip(pieces, ids, strict=True) if x is None])
+                open_.append((i, pieces, ids))
+                out.append(b"")
+        learnt: dict[str, bytes] = {}
+        for cut, pieces in new.items():
+            learnt.update(self._learn([p for p in pieces if p not in learnt], cut))
+        for i, pieces, ids in open_:
+            out[i] = b"".join([learnt[p] if x is None else x for p, x in zip(pieces, ids, strict=True)])
+        self.cache.update((p, x) for p, x in learnt.items() if len(p) <= LONGEST_KEPT)
         return out
 
 
@@ -113,14 +131,17 @@ def single_threaded() -> None:
     os.environ["RAYON_NUM_THREADS"] = "1"
 
 
-def file_encoder(path: str, words: bool = False) -> PieceEncoder:
-    """The worker's encoder for a tokenizer file; it stays between tasks."""
-    key = (path, words)
+def tokenizer_text(path: str) -> str:
+    """A tokenizer file's JSON, read on the driver; workers get it with their task."""
+    return Path(path).read_text(encoding="utf-8")
+
+
+def text_encoder(model: str, words: bool = False) -> PieceEncoder:
+    """The worker's encoder for a tokenizer's JSON; it stays between tasks."""
+    key = (zlib.crc32(model.encode()), len(model), words)
     if key not in _ENCODERS:
         single_threaded()
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _ENCODERS[key] = PieceEncoder(tokenizer, words)
+        _ENCODERS[key] = PieceEncoder(Tokenizer.from_str(model), words)
     return _ENCODERS[key]

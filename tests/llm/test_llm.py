@@ -19,7 +19,7 @@ from strand.llm.common import saved
 R = random.Random(3)
 VOCABULARY = ["".join(R.choices("abcdefghij", k=R.randint(2, 7))) for _ in range(300)]
 PROSE = [" ".join(R.choices(VOCABULARY, k=R.randint(5, 120))) for _ in range(30)]
-ODD = [None, "", " ", "\n\n", "One", "it's a don't 'll x' '", "a\tb\x0bc  d e f", "日本 語 عربى é é naïve ÷×²", "<|endoftext|></w>", "x " * 3000, "a" * 3000, "12 3a4 a_b 5.6,7\n\n x"]
+ODD = [None, "", " ", "\n\n", "One", "it's a don't 'll x' '", "a\tb\x0bc  d e f", "日本 語 عربى é é naïve ÷×²", "<|endoftext|></w>", "a <|endoftext|> b", "x<|EndOfText|>y é <|startoftext|>", "x " * 3000, "a" * 3000, "12 3a4 a_b 5.6,7\n\n x"]
 TEXTS = [*PROSE, *PROSE[:5], PROSE[6] + " extra", *ODD]
 
 
@@ -94,7 +94,6 @@ def test_url_model_is_the_interpolated_ratio(spark):
 
 def word_ids(t):
     tk = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tk.encode_special_tokens = True
     return [e.ids + [1] for e in tk.encode_batch([x or "" for x in t], add_special_tokens=False)]
 
 
@@ -243,7 +242,6 @@ def test_token_files(spark, docs, tmp_path, encoding):
     import pyarrow.parquet as pq
 
     tk = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tk.encode_special_tokens = True
     want = [np.array(e.ids + [2], dtype="<u4") for e in tk.encode_batch([x or "" for x in TEXTS], add_special_tokens=False)]
     path = str(tmp_path / "tokens")
     token_store.write_tokens(docs, token_store.byte_file(), path, encoding=encoding)
