@@ -15,14 +15,24 @@ ROUNDING = 1e3
 
 
 def solve_least_squares(gram: np.ndarray, rhs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(coefficients, whether the Gram matrix is deficient); the least-norm solution in its range."""
+    """(coefficients, whether the Gram matrix is deficient); of a deficient one's solutions, that of least norm.
+
+    Rank is judged at unit diagonal; what lies in the null space is then taken off in the regressors' own units.
+    """
     scale = np.sqrt(np.maximum(np.einsum("npp->np", gram), 0))
     inv = np.divide(1.0, scale, out=np.zeros_like(scale), where=scale > 0)
     values, vectors = np.linalg.eigh(gram * inv[:, :, None] * inv[:, None, :])
     keep = values > RANK_TOLERANCE
     back = np.where(keep, 1.0 / np.where(keep, values, 1.0), 0.0)
     z = np.einsum("npk,npt->nkt", vectors, rhs * inv[:, :, None])
-    return np.einsum("npk,nkt->npt", vectors, back[:, :, None] * z) * inv[:, :, None], ~keep.all(axis=1)
+    beta = np.einsum("npk,nkt->npt", vectors, back[:, :, None] * z) * inv[:, :, None]
+    short = ~keep.all(axis=1)
+    if short.any():
+        null = inv[short][:, :, None] * vectors[short] * ~keep[short][:, None, :]
+        size = np.linalg.norm(null, axis=1, keepdims=True)
+        null = np.divide(null, size, out=np.zeros_like(null), where=size > 0)
+        beta[short] -= null @ (np.linalg.pinv(null, rcond=RANK_TOLERANCE) @ beta[short])
+    return beta, short
 
 
 def normal_equations(m: Moments, intercept: bool, ridge: float) -> tuple[np.ndarray, np.ndarray]:

@@ -58,7 +58,7 @@ class LowRankRegression:
             for k, v in params.items():
                 setattr(self, k, v)
             self._check()
-        except ParameterError:
+        except Exception:  # whatever the check stumbled on, the old values hold again
             for k, v in old.items():
                 setattr(self, k, v)
             raise

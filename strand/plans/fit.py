@@ -179,18 +179,23 @@ def ecme_step(b: K.Blocks, lam: np.ndarray, intercept: np.ndarray | None, m: Mom
     return stepped, new, None if intercept is None else K.intercepts(stepped, new, m)
 
 
+#: Share by which rounding may raise the objective; an iteration that raised it by more hasn't converged.
+RISE = 1e-9
+
+
 def ecme(m: Moments, bases, precision, intercept, *, max_iter: int = 100, tol: float = 1.0, eps: float = 1e-12) -> MarginalFit:
     b, p = K.blocks(bases), len(bases)
     trace = [-marginal_log_likelihood(bases, precision, intercept, m)]
     done = max_iter == 0
-    it = 0
+    it, rose = 0, False
     while it < max_iter and not done:
         nb, nl, ni = ecme_step(b, precision, intercept, m)
         done = _change((precision, b.s, intercept), (nl, nb.s, ni), eps) < tol
         b, precision, intercept = nb, nl, ni
         trace.append(-marginal_log_likelihood(K.split(b.s, b, p), precision, intercept, m))
+        rose = rose or trace[-1] > trace[-2] + RISE * max(1.0, abs(trace[-2]))
         it += 1
-    return at_parameters(m, K.split(b.s, b, p), precision, intercept, iterations={"ecme": it}, converged=done, trace=tuple(trace))
+    return at_parameters(m, K.split(b.s, b, p), precision, intercept, iterations={"ecme": it}, converged=done and not rose, trace=tuple(trace))
 
 
 def refine(m: Moments, start: MarginalFit, *, max_iter: int = 10, tol: float = 1e-4, eps: float = 1e-12, optimizer_max_iter: int = 2000, optimizer_tol: float = 1e-6, optimizer_progtol: float = 1e-9, basis_ridge: float = 0.0) -> MarginalFit:

@@ -196,8 +196,9 @@ WITH {WIDE} SELECT CAST(dense_rank() OVER (ORDER BY x1) - 1 AS BIGINT) AS cond_i
 
 
 def _sessions(spark, sf_dir):
+    """Three sessions by trial; together they hold every observation."""
     obs, design = data(spark, sf_dir)
-    return [(obs.where((F.col("neuron_id") % 3 == s) & (F.col("trial_id") % 3 == s)), design.where(F.col("trial_id") % 3 == s)) for s in range(3)]
+    return [(obs.where(F.col("trial_id") % 3 == s), design.where(F.col("trial_id") % 3 == s)) for s in range(3)]
 
 
 def q_stack_sessions(spark, sf_dir):
@@ -209,9 +210,9 @@ def q_stack_sessions(spark, sf_dir):
 SQL_STACK_SESSIONS = f"""
 WITH {WIDE}, t AS (SELECT trial_id AS old, trial_id % 3 AS s, CAST(row_number() OVER (ORDER BY trial_id % 3, trial_id) - 1 AS BIGINT) AS trial_id FROM trials),
 n AS (SELECT neuron_id AS old, s, CAST(row_number() OVER (ORDER BY s, neuron_id) - 1 AS BIGINT) AS neuron_id
-      FROM (SELECT DISTINCT neuron_id, neuron_id % 3 AS s FROM obs WHERE neuron_id % 3 = trial_id % 3))
+      FROM (SELECT DISTINCT neuron_id, trial_id % 3 AS s FROM obs))
 SELECT t.trial_id, n.neuron_id, round(x0, 6) + 0.0 AS x0, bin, round(y, 6) + 0.0 AS y
-FROM long l JOIN t ON t.old = l.trial_id JOIN n ON n.old = l.neuron_id WHERE l.neuron_id % 3 = l.trial_id % 3"""
+FROM long l JOIN t ON t.old = l.trial_id JOIN n ON n.old = l.neuron_id AND n.s = t.s"""
 
 
 def q_split_sizes(spark, sf_dir):

@@ -194,3 +194,29 @@ def test_parameters_roll_back():
     assert model.ridge == 0.0
     with pytest.raises(AttributeError):
         model.B_
+
+
+def test_deficient_least_squares_is_least_norm_at_unequal_scales():
+    r = np.random.default_rng(8)
+    a = r.standard_normal((40, 2))
+    x = np.column_stack((a[:, 0], 10 * a[:, 0], a[:, 1], np.zeros(40), a[:, 0] - 3 * a[:, 1]))
+    y = r.standard_normal((40, 4))
+    beta, short = kernels.solve_least_squares((x.T @ x)[None], (x.T @ y)[None])
+    assert short.all() and np.allclose(beta[0], np.linalg.lstsq(x, y, rcond=1e-10)[0], atol=1e-8)
+
+
+def test_moments_of_arrays_equal_sums_over_observed_trials():
+    r = np.random.default_rng(9)
+    y, x = r.standard_normal((30, 21, 3)) + 1e3, r.standard_normal((30, 2)) + 50
+    y[r.random((30, 21)) < 0.4] = np.nan
+    y[:, 5] = np.nan
+    m = from_arrays(y, x)
+    for k in range(21):
+        own = ~np.isnan(y[:, k, 0])
+        assert m.n[k] == own.sum()
+        if not own.any():
+            assert np.isnan(m.x_mean[k]).all() and np.isnan(m.y_mean[k]).all() and not m.xtx[k].any() and not m.xty[k].any() and m.yty[k] == 0
+            continue
+        xc, yc = x[own] - x[own].mean(axis=0), y[own, k] - y[own, k].mean(axis=0)
+        for got, want in ((m.x_mean[k], x[own].mean(axis=0)), (m.y_mean[k], y[own, k].mean(axis=0)), (m.xtx[k], xc.T @ xc), (m.xty[k], xc.T @ yc), (m.yty[k], (yc**2).sum())):
+            assert np.allclose(got, want, rtol=1e-9, atol=1e-9)
