@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -43,10 +44,14 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """This application's folder under spark.checkpoint.dir; a temporary one only where that is unset."""
+    """This application's folder under spark.checkpoint.dir; where that is unset, a temporary one, in local mode only."""
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strand-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.match(r"local($|\[)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="strand-")
         _ROOTS[app] = f"{base.rstrip('/')}/strand-{app}"
         atexit.register(_remove, spark, _ROOTS[app])
     return _ROOTS[app]

@@ -9,7 +9,9 @@ the sketch of all texts. The fences are then joined to the texts.
 
 Defined cases: a null or empty text has no words and fails the base rules; null
 languages and sources form groups of their own; repeated rows count as often as
-they come; an empty table gives an empty result.
+they come, and equal values share a bucket; texts are read whole, however long; other
+columns may have any name that doesn't begin with __strand; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -166,16 +168,18 @@ def adaptive_thresholds(sketches: DataFrame, rules: Rules = RULES) -> DataFrame:
 
 def judge(signals: DataFrame, fences: DataFrame, rules: Rules = RULES, lang: str = "lang", source: str = "source") -> DataFrame:
     """signals with base_failed and kept inside the struct; fences joined by group."""
-    q = F.col(Q)
-    joined = signals.join(broadcast_checked(fences), F.col(lang).eqNullSafe(F.col("f_lang")) & F.col(source).eqNullSafe(F.col("f_source")), "left")
+    q, own = F.col(Q), "__strand_fence_"
+    fences = fences.select(*[F.col(c).alias(own + c) for c in fences.columns])
+    same = F.col(lang).eqNullSafe(F.col(f"{own}f_lang")) & F.col(source).eqNullSafe(F.col(f"{own}f_source"))
+    joined = signals.join(broadcast_checked(fences), same, "left")
     base = (q["n_words"] < rules.min_words) | (100 * q["n_repeat_words"] > rules.max_repeat_percent * q["n_words"])
     inside = F.lit(True)
     for name, value in _measures().items():
-        inside = inside & (value <= F.col(f"hi_{name}"))
+        inside = inside & (value <= F.col(f"{own}hi_{name}"))
         if name == "word_length":
-            inside = inside & (value >= F.col(f"lo_{name}"))
+            inside = inside & (value >= F.col(f"{own}lo_{name}"))
     out = joined.withColumn(Q, q.withField("base_failed", base).withField("kept", F.coalesce(~base & inside, F.lit(False))))
-    return out.drop("f_lang", "f_source", *[f"{e}_{k}" for k in rules.least() for e in ("lo", "hi")])
+    return out.drop(*fences.columns)
 
 
 def quality_rules(docs: DataFrame, rules: Rules = RULES, columns: list[str] | None = None) -> DataFrame:

@@ -15,7 +15,8 @@ over written tables.
 Defined cases: null and empty texts have fingerprint zero, linked like any other; copies
 meet as one fingerprint before any search; ids may repeat or be null (ignored in a
 group's smallest id unless it has no other); an empty table gives an empty result;
-columns besides the id and the text aren't read.
+texts are read whole, however long; columns besides the id and the text aren't read by the
+search and may have any name that doesn't begin with __strand.
 """
 
 from __future__ import annotations
@@ -61,20 +62,22 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> b
     return np.packbits(2 * counts > n).tobytes()
 
 
-def _prints(shingle: int, seed: int):
+def _prints(text: str, keep: list[str], shingle: int, seed: int, name: str):
     def run(batches):
         for batch in batches:
-            prints = [int.from_bytes(fingerprint(t, shingle, seed), "big", signed=True) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(prints, pa.int64())], [*batch.schema.names[1:], "fp"])
+            at = batch.schema.get_field_index
+            prints = [int.from_bytes(fingerprint(t, shingle, seed), "big", signed=True) for t in batch.column(at(text)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(at(c)) for c in keep), pa.array(prints, pa.int64())], [*keep, name])
 
     return run
 
 
-def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """The columns in keep, and fp: the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shingle: int = SHINGLE, seed: int = SEED, name: str = "fp") -> DataFrame:
+    """The columns in keep, and `name`: the fingerprint as a signed 64-bit integer."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(text).alias("__strand_text"), *keep)
-    return rows.mapInArrow(_prints(shingle, seed), T.StructType([*rows.schema.fields[1:], T.StructField("fp", T.LongType())]))
+    rows = docs.select(*dict.fromkeys([*keep, text]))
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(name, T.LongType())])
+    return rows.mapInArrow(_prints(text, keep, shingle, seed, name), schema)
 
 
 def segment_masks(segments: int = SEGMENTS) -> list[tuple[int, int]]:
@@ -206,25 +209,33 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
 
 
-def near_duplicate_groups(prints: DataFrame, key: str) -> DataFrame:
-    """prints (a written table with fp) and `group`: the smallest key that links lead to, itself included."""
+def rooted_prints(prints: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(fp, first, root) of each different fingerprint, and (root, group): the smallest key of each root's rows."""
     distinct = prints.groupBy("fp").agg(F.min(key).alias("first"))
     roots = components(links(distinct.select("fp")))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("group"))
+    return rooted, rooted.groupBy("root").agg(F.min("first").alias("group"))
+
+
+def near_duplicate_groups(prints: DataFrame, key: str) -> DataFrame:
+    """prints (a written table with fp) and `group`: the smallest key that links lead to, itself included."""
+    rooted, smallest = rooted_prints(prints, key)
     return prints.join(rooted.join(smallest, "root").select("fp", "group"), "fp")
 
 
 def near_duplicate_filter(docs: DataFrame) -> DataFrame:
     """docs with one row of each near-duplicate group: the smallest doc_id's, the first written where ids repeat.
 
-    Whole rows are written beside their fingerprints; the search reads only the narrow columns.
+    A null id stays only where its group has no other. Whole rows are written beside their
+    fingerprints; the search reads only the narrow columns, and no row looks up its group:
+    each group names its one row.
     """
-    marked = docs.withColumn("__strand_uid", F.monotonically_increasing_id())
-    rows = saved(fingerprints(marked, [*marked.columns]), "printed")
-    prints = rows.select(F.struct("doc_id", "__strand_uid").alias("key"), "fp")
-    kept = near_duplicate_groups(prints, "key").where(F.col("key") == F.col("group")).select(F.col("key")["__strand_uid"].alias("__strand_uid"))
-    return rows.join(kept, "__strand_uid", "left_semi").select(*docs.columns)
+    uid, fp = "__strand_uid", "__strand_fp"
+    marked = docs.withColumn(uid, F.monotonically_increasing_id())
+    rows = saved(fingerprints(marked, marked.columns, name=fp), "printed")
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.col(uid).alias("uid"))
+    _, smallest = rooted_prints(rows.select(key.alias("key"), F.col(fp).alias("fp")), "key")
+    return rows.join(smallest.select(F.col("group")["uid"].alias(uid)), uid, "left_semi").select(*docs.columns)
 
 
 def op4_simhash(spark, sf_dir) -> DataFrame:

@@ -11,9 +11,10 @@ one skips more. Every shard sees every query block, and the best of each shard m
 query.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components,
-and rows without id, take no part; vectors of another length are no candidates; rows with
-the query's id are not its candidates; ties go to the smaller id; an empty table, or one
-without queries, gives no rows.
+and rows without id, take no part; vectors of another length are no candidates; a row is
+not its own candidate, but others with its id are, and each row of a repeated query id is a
+query of its own; ties go to the smaller id; an empty table, or one without queries, gives
+no rows; other columns aren't read and may have any name.
 """
 
 from __future__ import annotations
@@ -94,16 +95,16 @@ def tree_order(vectors: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, np.nd
 class Search:
     """Queries against one shard's tree."""
 
-    def __init__(self, ids, vectors, bounds, query_ids, queries, k: int, factor: float, leaf: int = LEAF):
-        self.ids, self.vectors, self.bounds, self.leaf = ids, vectors, bounds, leaf
-        self.query_ids, self.queries, self.factor = query_ids, queries, factor
+    def __init__(self, ids, uids, vectors, bounds, query_uids, queries, k: int, factor: float, leaf: int = LEAF):
+        self.ids, self.uids, self.vectors, self.bounds, self.leaf = ids, uids, vectors, bounds, leaf
+        self.query_uids, self.queries, self.factor = query_uids, queries, factor
         self.score = np.full((len(queries), k), -np.inf)
         self.found = np.full((len(queries), k), np.iinfo(np.int64).max)
         self.visit(0, len(ids), np.arange(len(queries)))
 
     def offer(self, start: int, end: int, active: np.ndarray) -> np.ndarray:
         c = cosines(self.queries[active], self.vectors[start:end])
-        mine = np.where(self.ids[None, start:end] == self.query_ids[active][:, None], -np.inf, c)
+        mine = np.where(self.uids[None, start:end] == self.query_uids[active][:, None], -np.inf, c)
         better = mine.max(axis=1) >= self.score[active, -1]
         rows = active[better]
         if len(rows):
@@ -142,43 +143,45 @@ def _build(keys: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
 
 
 def build_index(rows: DataFrame, shards: int) -> DataFrame:
-    """(dim, shard, vec_id, v, at, bounds): every row of rows (vec_id, v) at its place in its shard's tree; written."""
+    """(dim, shard, vec_id, v, at, bounds, uid): every row of rows (vec_id, v) at its place in its shard's tree; written."""
     ship(rows.sparkSession)
     dealt = rows.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "v")
     schema = "dim int, shard int, vec_id long, v array<double>, at long, bounds array<double>"
-    return saved(dealt.groupBy("dim", "shard").applyInArrow(_build, schema), "vptree")
+    return saved(dealt.groupBy("dim", "shard").applyInArrow(_build, schema).withColumn("uid", F.monotonically_increasing_id()), "vptree")
 
 
 def _search(k: int, factor: float):
     def run(queries: pa.Table, index: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        schema = pa.schema([("query_uid", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not index.num_rows or not queries.num_rows:
             return schema.empty_table()
         index = index.sort_by("at")
         bounds = np.array(index.column("bounds").to_pylist(), dtype=np.float64)
-        ids = queries.column("vec_id").to_numpy()
-        s = Search(index.column("vec_id").to_numpy(), _matrix(index.column("v")), bounds, ids, _matrix(queries.column("v")), k, factor)
+        ids, uids = queries.column("vec_id").to_numpy(), queries.column("uid").to_numpy()
+        s = Search(index.column("vec_id").to_numpy(), index.column("uid").to_numpy(), _matrix(index.column("v")), bounds, uids, _matrix(queries.column("v")), k, factor)
         hit = s.score > -np.inf
-        return pa.Table.from_arrays([pa.array(np.repeat(ids, hit.sum(axis=1))), pa.array(s.found[hit]), pa.array(s.score[hit])], schema=schema)
+        n = hit.sum(axis=1)
+        return pa.Table.from_arrays([pa.array(np.repeat(uids, n)), pa.array(np.repeat(ids, n)), pa.array(s.found[hit]), pa.array(s.score[hit])], schema=schema)
 
     return run
 
 
 def search(index: DataFrame, shards: int, queries: DataFrame, k: int = NEIGHBOURS, factor: float = FACTOR) -> DataFrame:
-    """(query_id, rank, vec_id, score) for queries (vec_id, v)."""
+    """(query_id, rank, vec_id, score) for queries (uid, vec_id, v); uid tells the index's row that a query is."""
     ship(index.sparkSession)
     blocks = max(1, math.ceil(queries.count() / BLOCK))
     asked = queries.select(
         F.size("v").alias("dim"),
-        F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(blocks)).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
+        "uid",
         "vec_id",
         "v",
     )
     trees = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else index.withColumn("block", F.lit(0))
     on = ["dim", "shard", "block"]
-    best = asked.groupBy(*on).cogroup(trees.groupBy(*on)).applyInArrow(_search(k, factor), "query_id long, vec_id long, score double")
-    ranked = best.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)"))
+    best = asked.groupBy(*on).cogroup(trees.groupBy(*on)).applyInArrow(_search(k, factor), "query_uid long, query_id long, vec_id long, score double")
+    ranked = best.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_uid ORDER BY score DESC, vec_id)"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -187,7 +190,7 @@ def nearest(rows: DataFrame, every: int, k: int = NEIGHBOURS, factor: float = FA
     ready = usable(rows, key, vector)
     shards = max(1, math.ceil(ready.count() / shard))
     index = build_index(ready, shards)
-    queries = index.where(F.col("vec_id") % every == 0).select("vec_id", "v").dropDuplicates(["vec_id"])
+    queries = index.where(F.col("vec_id") % every == 0).select("uid", "vec_id", "v")
     return search(index, shards, queries, k, factor)
 
 

@@ -56,6 +56,9 @@ def test_quality(docs):
         assert got["base_failed"] == failed and not (failed and got["kept"])
     kept = quality.quality_filter(docs)
     assert kept.columns == docs.columns and quality.quality_filter(empty(docs)).count() == 0
+    names = {"f_lang": F.lit("q"), "hi_upper": F.lit(-1), "lo_word_length": F.lit(10**9), "h": F.lit(0), "p": F.lit(0)}
+    clash = quality.quality_filter(docs.withColumns(names))
+    assert clash.columns == [*docs.columns, *names] and sorted(r["doc_id"] for r in clash.collect()) == sorted(r["doc_id"] for r in kept.collect())
 
 
 def test_urls(spark):
@@ -73,23 +76,58 @@ def test_urls(spark):
     assert {(r["verdict"], r["score"]) for r in only} == {("allow", 0.0)}
 
 
-def test_url_model_is_the_interpolated_ratio(spark):
-    rows = [(k, "a.b", p, v) for k, (p, v) in enumerate([("/xy", "allow"), ("/xx", "allow"), ("/yy", "block"), ("/yx", "block")] * 3)]
-    frame = saved(spark.createDataFrame(rows, "uid long, host string, path string, ruled string"), "t")
-    counts = urls._grams(frame.select("host", "path", "ruled"), 3).groupBy("g").agg(F.count_if(F.col("ruled") == "allow").alias("a"), F.count_if(F.col("ruled") == "block").alias("r"))
-    counts = saved(counts, "c")
-    deltas = {r["g"]: r["delta"] for r in urls._model(counts, 3, 2.0).collect()}
-    table = {r["g"]: (r["a"], r["r"]) for r in counts.collect()}
-
-    def chance(g, side):
-        if not g:
-            return 1 / urls.ALPHABET
-        total = sum(v[side] for h, v in table.items() if len(h) == len(g) and h[:-1] == g[:-1])
-        return (table[g][side] + 2.0 * chance(g[1:], side)) / (total + 2.0)
-
-    for g in table:
-        total = sum(deltas[g[i:]] for i in range(len(g)))
-        assert total == pytest.approx(np.log(chance(g, 0) / chance(g, 1)), abs=1e-9)
+def slow_url_scores(train, urls_, order):
+    """Log-likelihood ratios by the recursion itself, from counts in dictionaries."""
+    grams = {}
+    for s, verdict in train:
+        s = urls.BEGIN + s
+        for i in range(1, len(s)):
+            for k in range(1, min(i + 1, order) + 1):
+                grams.setdefault(s[i - k + 1 : i + 1], [0, 0])[verdict == "block"] += 1
+    totals = {}
+    for g, n in grams.items():
+        own = totals.setdefault(g[:-1], [0, 0])
+        own[0], own[1] = own[0] + n[0], own[1] + n[1]
+
+    def chance(context, c, side):
+        below = chance(context[1:], c, side) if context else 1 / urls.ALPHABET
+        if context not in totals:
+            return below
+        return (grams.get(context + c, (0, 0))[side] + urls.SMOOTHING * below) / (totals[context][side] + urls.SMOOTHING)
+
+    def score(s):
+        s = urls.BEGIN + s
+        logs = [np.log(chance(s[max(0, i - order + 1) : i], s[i], 0) / chance(s[max(0, i - order + 1) : i], s[i], 1)) for i in range(1, len(s))]
+        return sum(logs) / len(logs)
+
+    return [score(s) if s else 0.0 for s in urls_]
+
+
+def test_url_scores_threshold_and_verdicts(spark):
+    r = random.Random(12)
+    word = lambda letters: "".join(r.choices(letters, k=r.randint(1, 7)))
+    good = [f"http://{word('abcd')}.com/{word('abcdxé')}/{word('abc')}" for _ in range(60)]
+    bad = [f"http://www.{word('efg')}.net/es/{word('efgx')}" for _ in range(60)]
+    free = [f"http://{word('abefz')}.org/{word('aegxq日')}" for _ in range(60)] + ["http://zz.org/" + "qa" * 400, "http://", "http://w"]
+    given = good + good[:7] + bad + free
+    pages = spark.createDataFrame([(k, u, "x", 1.0) for k, u in enumerate(given)], "page_id long, url string, host string, g double")
+    out = sorted(urls.url_filter(pages).collect(), key=lambda x: x["page_id"])
+    ruled = [(x["host"] + x["path"], x["verdict"]) for x in out if x["rule"]]
+    open_ = [x for x in out if not x["rule"]]
+    assert len(out) == len(given) and len(ruled) == 127 and len(open_) == len(free)
+    want = slow_url_scores(ruled, [x["host"] + x["path"] for x in open_], urls.ORDER)
+    assert np.allclose([x["score"] for x in open_], want, atol=1e-8)
+
+    parts = spark.createDataFrame([(x["host"], x["path"]) for x in out if x["rule"]], "host string, path string")
+    held = [x[0] for x in parts.select(F.pmod(F.xxhash64("host", "path"), F.lit(urls.HELD_OUT)) == 0).collect()]
+    apart = [x for x, h in zip(ruled, held) if h]
+    scores = slow_url_scores([x for x, h in zip(ruled, held) if not h], [s for s, _ in apart], urls.ORDER)
+    buckets = [(int(np.floor(round(v, 9) * urls.STEPS)), verdict) for v, (_, verdict) in zip(scores, apart)]
+    n = [sum(v == side for _, v in buckets) for side in ("allow", "block")]
+    assert min(n) > 0
+    errors = lambda b: sum(x < b for x, v in buckets if v == "allow") / n[0] + sum(x >= b for x, v in buckets if v == "block") / n[1]
+    best = min({b for b, _ in buckets}, key=lambda b: (round(errors(b), 12), abs(b), b)) / urls.STEPS
+    assert [x["verdict"] for x in open_] == ["allow" if x["score"] >= best else "block" for x in open_]
 
 
 def word_ids(t):
@@ -280,6 +318,9 @@ def test_vantage_point_trees(spark):
                 assert got == want
     assert hits[1.0] == 70 and hits[0.5] >= 63
     assert vptree.nearest(frame.limit(0), 50).count() == 0
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.1]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    pairs = sorted((x["query_id"], x["rank"], x["vec_id"]) for x in vptree.nearest(twice, 50).collect())
+    assert pairs == [(0, 1, 0), (0, 1, 0), (0, 2, 3), (0, 2, 3)]
 
 
 def test_toxicity(spark):
@@ -404,6 +445,31 @@ def test_language_mixture_of_six(spark):
     assert {x for x, _ in languages} == set(kinds) and score == pytest.approx(1 / 6, abs=0.02)
 
 
+def test_near_duplicate_filter_of_odd_rows(spark):
+    text = " ".join(PROSE[0].split() * 3)
+    rows = [(None, text), (5, text), (7, text), (None, "alone here"), (9, None), (3, ""), (3, ""), (11, "x " * 5000)]
+    docs = spark.createDataFrame([(k, t, 1, "u", 2, 3) for k, t in rows], "doc_id long, text string, fp int, key string, node int, `group` int")
+    out = simhash.near_duplicate_filter(docs)
+    assert out.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in out.collect()) == sorted([("5", text), ("None", "alone here"), ("3", ""), ("11", "x " * 5000)])
+    assert simhash.near_duplicate_filter(docs.limit(0)).count() == 0
+
+
+def test_stages_take_odd_rows(spark):
+    import corpus_pipeline
+
+    r = random.Random(21)
+    rows = [(k, " ".join(r.choices(VOCABULARY, k=60)), "en", "s", 1, 0) for k in range(60)]
+    rows += [rows[3], (None, rows[4][1], None, None, 1, 0), (70, None, "en", None, 1, 0), (71, "", None, "s", 1, 0), (72, "word " * 30000, "en", "s", 1, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, fp int, f_lang int")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns and out.join(docs, "doc_id", "left_anti").where("doc_id IS NOT NULL").count() == 0
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs, "").where("length > 0").agg(F.sum("length")).first()[0] > 0 and last(spark, docs.limit(0), "").count() == 0
+
+
 def test_pipeline_is_its_operators_in_turn(spark, tmp_path):
     import corpus_pipeline
 
