@@ -15,9 +15,12 @@ of CODE bytes, so that a match of a few characters outweighs the bytes that anno
 A text is judged in segments of SEGMENT windows: the savings of a segment's different
 windows (largest, mean, how many save so much) enter a logistic calibration, and the text's
 strongest segment counts, in the fit as in the score. The calibration sees each training
-text measured by dictionaries of the other texts. The threshold, which becomes score 0.5,
-is where most of the toxic ones and fewest of the ordinary ones lie above, with at most
-CLEAN_LOST of the ordinary ones; both are read from the same held-apart measures.
+text measured by dictionaries of the other texts. Savings mean different things in different
+languages, so texts are grouped by the frequent words they hold (found from the training
+texts alone), and each group has its threshold, which becomes score 0.5: where most of the
+toxic and fewest of the ordinary ones lie above, with at most CLEAN_LOST of the ordinary
+ones, in the same held-apart measures. Groups with fewer than LEAST_GROUP texts of either
+label share the threshold of all.
 
 Training reads a bounded sample: TOXIC and ORDINARY labelled texts of at most
 TRAINING_CHARS characters, chosen by a hash of their ids. Scoring reads every whole text,
@@ -33,6 +36,7 @@ table gives an empty result; other columns may have any name.
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -61,8 +65,11 @@ MOST = 12
 SEGMENT = 400
 #: Parts of the training texts, measured with the other parts' dictionaries; rounds of choosing strongest segments.
 FOLDS, STRONGEST = 4, 5
-#: Share of ordinary training texts that may lie above the threshold.
+#: Share of a group's ordinary training texts that may lie above its threshold.
 CLEAN_LOST = 0.1
+#: Frequent words that group the texts, the cosine under which two long texts are of different groups, rounds of
+#: settling the groups, and the texts of either label that a threshold needs.
+PROFILE, ALIKE, SETTLE, LEAST_GROUP = 500, 0.5, 10, 30
 CACHE_WORDS, LONGEST_KEPT = 300_000, 40
 
 
@@ -134,6 +141,47 @@ def _content_at(raw: bytes) -> int:
     return min(len(raw), 300) if zstandard.ZstdCompressionDict(raw).dict_id() else 0
 
 
+@dataclass(frozen=True)
+class Groups:
+    """Centres of groups of texts, in counts of frequent words."""
+
+    words: tuple[str, ...] = ()
+    centres: tuple[tuple[float, ...], ...] = ()
+
+    def place(self) -> dict[str, int]:
+        return {w: i for i, w in enumerate(self.words)}
+
+
+def profile(text: str | None, place: dict[str, int]) -> np.ndarray:
+    """Roots of the frequent words' counts, at length one."""
+    x = np.sqrt(np.bincount([place[w] for w in (text or "").lower().split() if w in place], minlength=len(place)).astype(float))
+    return x / max(float(np.linalg.norm(x)), 1e-12)
+
+
+def found_groups(texts: list[str]) -> Groups:
+    """Groups of texts whose frequent words agree (languages, mostly).
+
+    The longest texts that are unlike each other are the first centres; spherical k-means goes on from there.
+    """
+    common = Counter(w for t in texts for w in set(t.lower().split()))
+    words = tuple(w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:PROFILE])
+    place = {w: i for i, w in enumerate(words)}
+    x = np.array([profile(t, place) for t in texts])
+    centres: list[np.ndarray] = []
+    for i in sorted(range(len(texts)), key=lambda i: (-len(texts[i]), i)):
+        if x[i].any() and all(x[i] @ c < ALIKE for c in centres):
+            centres.append(x[i])
+    if not centres:
+        return Groups()
+    c = np.array(centres)
+    for _ in range(SETTLE):
+        of = (x @ c.T).argmax(axis=1)
+        sizes = np.bincount(of, minlength=len(c))
+        sums = np.array([x[of == k].sum(axis=0) for k in np.flatnonzero(sizes >= min(LEAST_GROUP, sizes.max()))])
+        c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    return Groups(words, tuple(map(tuple, c.tolist())))
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     ordinary: str
@@ -143,6 +191,8 @@ class ToxicityModel:
     mean: tuple[float, ...] = ()
     scale: tuple[float, ...] = ()
     bias: float = 0.0
+    groups: Groups = Groups()
+    biases: tuple[float, ...] = ()
 
     def scorer(self) -> "Scorer":
         if self not in _SCORERS:
@@ -166,6 +216,7 @@ class Scorer:
             return zstandard.ZstdCompressor(dict_data=own, compression_params=parameters).multi_compress_to_buffer
 
         self.lengths = (compressor(model.ordinary), compressor(model.toxic)) if model.toxic else None
+        self.place, self.centres = model.groups.place(), np.array(model.groups.centres)
 
     def savings(self, windows: list[bytes]) -> np.ndarray:
         """Bytes that the toxic dictionary saves on each coded window."""
@@ -175,14 +226,20 @@ class Scorer:
         return ordinary - toxic
 
     def features(self, text: str | None) -> np.ndarray:
-        """A row for each segment of the text, over its different windows."""
+        """A row for each segment of the text, over its different windows, and how many segments there are."""
         windows = self.coder.windows(text)
         parts = [list(dict.fromkeys(windows[at : at + SEGMENT])) for at in range(0, max(1, len(windows)), SEGMENT)]
-        return np.array([vector(self.savings(part)) for part in parts])
+        return np.array([[*vector(self.savings(part)), np.log(len(parts))] for part in parts])
+
+    def group(self, text: str | None) -> int:
+        """The text's group; -1 without any frequent word."""
+        x = profile(text, self.place) if len(self.centres) else np.zeros(1)
+        return int((self.centres @ x).argmax()) if x.any() else -1
 
     def score(self, text: str | None) -> float:
         m = self.model
-        z = m.bias
+        g = self.group(text)
+        z = m.bias if g < 0 else m.biases[g]
         if m.weights:
             z += float((((self.features(text) - m.mean) / m.scale) @ np.array(m.weights)).max())
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
@@ -305,7 +362,16 @@ def fit_texts(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
     value = np.full(len(y), -np.inf)
     np.maximum.at(value, of, z @ weights)
     model = _dictionaries(bad, good, background, ROUNDS == 0)
-    return ToxicityModel(model.ordinary, model.toxic, background, tuple(weights.tolist()), tuple(mean.tolist()), tuple(scale.tolist()), -calibrated_threshold(value, y))
+    groups = found_groups(toxic + ordinary)
+    scorer = Scorer(ToxicityModel("", "", groups=groups), coder)
+    group, whole = np.array([scorer.group(t) for t in toxic + ordinary]), -calibrated_threshold(value, y)
+    biases = []
+    for g in range(len(groups.centres)):
+        own = group == g
+        enough = min((own & (y == k)).sum() for k in (0, 1)) >= LEAST_GROUP
+        biases.append(-calibrated_threshold(value[own], y[own]) if enough else whole)
+    fitted = (tuple(weights.tolist()), tuple(mean.tolist()), tuple(scale.tolist()))
+    return ToxicityModel(model.ordinary, model.toxic, background, *fitted, whole, groups, tuple(biases))
 
 
 def _scores(model: ToxicityModel, text: str, keep: list[str], below: float | None):
