@@ -5,10 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import ParameterError
+from ..errors import LISTED, ParameterError, listed
+from ..functions import kernels as K
+from ..sources.frames import observation_floor
+from .moments import Moments, moments, parts_of
 
 CORRELATION, SCALE, CENTRE_NOTE, CENTRE_WARNING = 0.95, 10.0, 0.1, 1.0
 RANK_TOLERANCE = 1e-10
@@ -105,6 +109,10 @@ class DesignReport:
     problems: list[str] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
     notes: list[str] = field(default_factory=list)
+    duplicates: tuple[tuple[int, int], ...] = ()
+    few_trial_neurons: DataFrame | None = None
+    rank_deficient_neurons: DataFrame | None = None
+    empty_trials: DataFrame | None = None
 
     def __str__(self) -> str:
         lines = [f"{self.n_trials} trials, rank {self.rank} of {len(self.names)}, condition number {self.condition_number:.3g}"]
@@ -127,8 +135,73 @@ def design_moments(design: DataFrame, obs: DataFrame | None = None) -> DataFrame
     return used.agg(F.count("*").alias("n"), *sums, *pairs, *distinct), shift
 
 
-def check_design(design: DataFrame, obs: DataFrame | None = None, names: list[str] | None = None, condition_independent: bool = True, basis_ridge: float = 0.0, estimator: str | None = None) -> DesignReport:
-    """Ranks, conditioning, correlations and scales of the design; never raises for what it finds."""
+def design_neurons(obs: DataFrame, design: DataFrame, floor: int, condition_independent: bool = True, ridge: float = 0.0, neurons: DataFrame | None = None) -> DataFrame:
+    """(neuron_id, n_obs, few_trials, rank_deficient): each neuron's own design, over the trials that observe it.
+
+    Deficient is what least squares would call so: its Gram matrix, centred beside the
+    intercept and with the ridge, has a zero eigenvalue at unit diagonal. With neurons,
+    those never observed have too few trials, and no design that could be deficient.
+    """
+    zeros = obs.select("trial_id", "neuron_id", F.array(F.lit(0.0)).alias("y"))
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                m = Moments(*parts_of(pa.Table.from_batches([batch])))
+                _, short = K.solve_least_squares(*K.normal_equations(m, condition_independent, ridge))
+                yield pa.RecordBatch.from_arrays([pa.array(m.ids), pa.array(m.n), pa.array(m.n < floor), pa.array(short)], ["neuron_id", "n_obs", "few_trials", "rank_deficient"])
+
+    out = moments(zeros, design).mapInArrow(run, "neuron_id long, n_obs long, few_trials boolean, rank_deficient boolean")
+    if neurons is None:
+        return out
+    return neurons.select("neuron_id").distinct().join(out, "neuron_id", "left").na.fill({"n_obs": 0, "few_trials": True, "rank_deficient": False})
+
+
+def empty_trials(design: DataFrame, obs: DataFrame) -> DataFrame:
+    """(trial_id): trials of the design that no neuron was observed on."""
+    return design.select("trial_id").distinct().join(obs.select("trial_id").distinct(), "trial_id", "left_anti")
+
+
+def empty_message(trials: DataFrame) -> str | None:
+    found = _first_ids(trials, "trial_id")
+    return f"trials without an observed neuron: {found}" if found else None
+
+
+def deficient_message(neurons: str) -> str:
+    return f"neurons whose observed design is rank-deficient: {neurons}; they get the least-norm solution unless ridge is positive"
+
+
+def _first_ids(df: DataFrame, column: str) -> str:
+    """The smallest ids, and how many follow; empty without any."""
+    ids = [r[0] for r in df.select(column).orderBy(column).limit(LISTED + 1).collect()]
+    return listed(ids) if len(ids) <= LISTED else f"{listed(ids[:LISTED])} and {df.count() - LISTED} more"
+
+
+def check_design(
+    design: DataFrame,
+    obs: DataFrame | None = None,
+    names: list[str] | None = None,
+    condition_independent: bool = True,
+    basis_ridge: float = 0.0,
+    estimator: str | None = None,
+    min_observations: int = 2,
+    ridge: float = 0.0,
+    neurons: DataFrame | None = None,
+    per_neuron: bool = True,
+) -> DesignReport:
+    """Ranks, conditioning, correlations and scales of the design; never raises for what it finds.
+
+    With obs (and per_neuron) also frames of the neurons observed too seldom (the floor that
+    the estimator's fit applies), of those whose own design is rank-deficient, and of the
+    trials without observations; messages name the first of them. neurons names those that
+    obs may lack.
+    """
+    if estimator not in (None, "mmle", "svd"):
+        raise ParameterError("estimator is 'mmle', 'svd' or None")
+    if isinstance(min_observations, bool) or int(min_observations) != min_observations or min_observations < 1:
+        raise ParameterError("min_observations is a positive integer")
+    if not (np.isfinite(ridge) and ridge >= 0):
+        raise ParameterError("ridge is a finite number, at least 0")
     frame, shift = design_moments(design, obs)
     row, p = frame.first(), len(shift)
     names = tuple(names or (f"x{i}" for i in range(p)))
@@ -155,12 +228,26 @@ def check_design(design: DataFrame, obs: DataFrame | None = None, names: list[st
     corr = cov[np.ix_(free, free)] / np.outer(stds[free], stds[free]) if len(free) else np.empty((0, 0))
     off = np.abs(corr - np.diag(np.diag(corr)))
     problems, warns, notes = [], [], []
+    size = np.sqrt(np.maximum(np.diag(gram), 0))
+    duplicates = tuple((a, b) for a in range(p) for b in range(a + 1, p) if size[a] * size[b] == 0 or 1 - abs(gram[a, b]) / (size[a] * size[b]) <= RANK_TOLERANCE)
+    few = deficient = empty = None
     if rank < p:
         problems.append(f"the regressors have rank {rank} of {p}")
     if condition_independent and constant.any():
         problems.append("constant beside the intercept: " + ", ".join(np.array(names)[constant]))
     elif condition_independent and augmented < p + 1 and rank == p:
         problems.append("a combination of regressors is constant beside the intercept")
+    if obs is not None and per_neuron:
+        floor = observation_floor(min_observations, estimator, p, condition_independent)
+        own = design_neurons(obs, design, floor, condition_independent, ridge, neurons).persist()
+        few, deficient, empty = own.where("few_trials").select("neuron_id", "n_obs"), own.where("rank_deficient").select("neuron_id"), empty_trials(design, obs)
+        if found := _first_ids(few, "neuron_id"):
+            problems.append(f"neurons observed on fewer than {floor} trials: {found}")
+        if found := empty_message(empty):
+            warns.append(found)
+        if found := _first_ids(deficient, "neuron_id"):
+            warns.append(deficient_message(found))
+        own.unpersist()
     for a in range(len(free)):
         for b in range(a + 1, len(free)):
             if off[a, b] > CORRELATION:
@@ -170,6 +257,8 @@ def check_design(design: DataFrame, obs: DataFrame | None = None, names: list[st
     for k in range(p):
         if not constant[k] and abs(means[k]) > CENTRE_WARNING * stds[k] and row[f"u{k}"] > 2 and estimator == "mmle":
             warns.append(f"{names[k]} is far from centred")
-        elif not constant[k] and abs(means[k]) > CENTRE_NOTE * stds[k]:
+        elif not constant[k] and abs(means[k]) > CENTRE_NOTE * stds[k] and row[f"u{k}"] > 2:
             notes.append(f"{names[k]} isn't centred")
-    return DesignReport(names, n, means, stds, tuple(np.array(names)[constant].tolist()), rank, augmented, condition, float(off.max(initial=0.0)), problems, warns, notes)
+    if basis_ridge == 0 and len(free) > 1 and stds[free].max() > SCALE * stds[free].min():
+        notes.append(f"standard deviations differ {stds[free].max() / stds[free].min():.3g}-fold")
+    return DesignReport(names, n, means, stds, tuple(np.array(names)[constant].tolist()), rank, augmented, condition, float(off.max(initial=0.0)), problems, warns, notes, duplicates, few, deficient, empty)

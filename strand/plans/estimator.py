@@ -8,11 +8,11 @@ from dataclasses import dataclass, fields
 import numpy as np
 from pyspark.sql import DataFrame
 
-from ..errors import DesignWarning, NotFittedError, ParameterError, ValidationError
-from ..functions import criteria, subspaces
+from ..errors import DesignWarning, NotFittedError, ParameterError, ValidationError, listed
+from ..functions import criteria, kernels, subspaces
 from ..operators import evaluate
 from ..operators.moments import Moments, collected, moments
-from ..operators.prepare import check_design
+from ..operators.prepare import check_design, deficient_message, empty_message, empty_trials
 from ..sources.frames import checked_design, fit_checks, observation_floor, observed
 from .distributed import candidate_fits
 from .fit import fit_least_squares, fit_marginal
@@ -97,17 +97,22 @@ class LowRankRegression:
         neurons = rows.select("neuron_id").distinct()
         obs = observed(rows, mask)
         fit_checks(obs, neurons, observation_floor(self.min_observations, self.estimator, p, self.condition_independent))
-        report = check_design(design, obs, names, self.condition_independent, self.basis_ridge, self.estimator)
+        report = check_design(design, obs, names, self.condition_independent, self.basis_ridge, self.estimator, per_neuron=False)
         if report.problems:
             raise ValidationError("; ".join(report.problems))
-        if report.warnings:
-            warnings.warn("; ".join(report.warnings), DesignWarning, stacklevel=2)
+        found = [*report.warnings, *filter(None, [empty_message(empty_trials(design, obs))])]
+        if found:
+            warnings.warn("; ".join(found), DesignWarning, stacklevel=2)
         stats = moments(obs, design)
         n = neurons.count()
         t = len(obs.first()["y"])
         if 8 * n * (p * p + p * t + p + t + 2) > MOST_MOMENT_BYTES:
             raise ValidationError("the moments exceed the driver's bound; use plans.distributed on the frames")
-        return self._fit_moments(collected(stats, neurons), report.names, rows.sparkSession)
+        m = collected(stats, neurons)
+        _, deficient = kernels.solve_least_squares(*kernels.normal_equations(m, self.condition_independent, self.ridge))
+        if deficient.any():
+            warnings.warn(deficient_message(listed(m.ids[deficient])), DesignWarning, stacklevel=2)
+        return self._fit_moments(m, report.names, rows.sparkSession)
 
     def fit_moments(self, m: Moments, names: list[str] | None = None, spark=None) -> "LowRankRegression":
         self._check()

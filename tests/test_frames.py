@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strand.errors import ValidationError
+from strand.errors import DesignWarning, ParameterError, ValidationError
 from strand.operators import evaluate, prepare
 from strand.operators.moments import collected, from_arrays, moments
 from strand.plans.distributed import candidate_fits
@@ -93,6 +93,43 @@ def test_design_report(spark):
     assert bad.rank == 3 and len(bad.problems) == 2 and bad.max_abs_correlation == pytest.approx(1)
 
 
+def test_design_report_by_neuron(spark):
+    rng = np.random.default_rng(1)
+    x = np.column_stack((rng.standard_normal(12), rng.choice([-1.0, 1.0], 12), rng.standard_normal(12)))
+    x[:, 2] = 3 * x[:, 0]
+    y = rng.standard_normal((12, 6, 2))
+    y[5] = np.nan  # a trial without observations
+    y[3:, 1] = np.nan  # three trials
+    y[x[:, 1] < 0, 2] = np.nan  # a regressor constant over its trials
+    y[:, 3] = np.nan  # never observed
+    rows, design = rows_of(spark, y), design_of(spark, x[:, :2])
+    obs, neurons = frames.observed(rows), rows.select("neuron_id")
+    r = prepare.check_design(design, obs, estimator="mmle", neurons=neurons)
+    seen = ~np.isnan(y[:, :, 0])
+    centred = lambda i: x[seen[:, i], :2] - x[seen[:, i], :2].mean(axis=0)
+    ids = lambda df, c: sorted(v[0] for v in df.select(c).collect())
+    assert ids(r.empty_trials, "trial_id") == [5]
+    assert ids(r.few_trial_neurons, "neuron_id") == [i for i in range(6) if seen[:, i].sum() < 4]
+    assert ids(r.rank_deficient_neurons, "neuron_id") == [i for i in range(6) if seen[:, i].any() and np.linalg.matrix_rank(centred(i)) < 2] != []
+    assert len(r.problems) == 1 and len(r.warnings) == 2 and "trials without" in r.warnings[0]
+    ridged = prepare.check_design(design, obs, ridge=0.1)
+    assert ids(ridged.rank_deficient_neurons, "neuron_id") == [] and ids(ridged.few_trial_neurons, "neuron_id") == []
+    assert prepare.check_design(design_of(spark, x)).duplicates == ((0, 2),)
+    with pytest.raises(ParameterError):
+        prepare.check_design(design, obs, min_observations=0)
+
+
+def test_fit_warns_of_what_the_report_finds(spark):
+    x, y = sample()
+    y[0] = np.nan
+    y[x[:, 1] < np.median(x[:, 1]), 0] = np.nan
+    y[np.flatnonzero(~np.isnan(y[:, 0, 0]))[2:], 0] = np.nan  # two trials, three coefficients
+    with pytest.warns(DesignWarning) as found:
+        LowRankRegression(ranks=[1, 1], estimator="svd", ridge=0.0, min_observations=1).fit(rows_of(spark, y), design_of(spark, x))
+    said = " ".join(str(w.message) for w in found)
+    assert "trials without an observed neuron: 0" in said and "rank-deficient: 0" in said
+
+
 def test_streaming_equals_one_pass(spark, tmp_path):
     from strand.streaming.moments import running_moments
 
