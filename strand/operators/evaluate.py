@@ -100,11 +100,16 @@ def _matrix(table: pa.Table, name: str) -> np.ndarray:
     return np.array(table.column(name).to_pylist(), dtype=np.float64).reshape(table.num_rows, -1)
 
 
-def project(obs: DataFrame, weights: DataFrame, params: DataFrame, remove_intercept: bool = True, weighted: bool = True, method: str = "gls") -> DataFrame:
+def _missing(width: int) -> Column:
+    return F.array_repeat(F.lit(float("nan")), width)
+
+
+def project(obs: DataFrame, weights: DataFrame, params: DataFrame, remove_intercept: bool = True, weighted: bool = True, method: str = "gls", trials: DataFrame | None = None) -> DataFrame:
     """(trial_id, z array (bins x components)): each trial's coordinates in the column space of weights(neuron_id, w array).
 
     gls solves the (precision-weighted) normal equations over the observed neurons, NaN
-    where they are singular; paper sums w_i y_i without solving.
+    where they are singular; paper sums w_i y_i without solving. With trials, those that
+    hold no observation have rows too: NaN by gls, the empty sum 0 by paper.
     """
     if method not in ("gls", "paper"):
         raise ParameterError(f"method must be 'gls' or 'paper'; got {method!r}")
@@ -124,16 +129,22 @@ def project(obs: DataFrame, weights: DataFrame, params: DataFrame, remove_interc
             z = np.linalg.solve(g, rhs) if e[0] > np.finfo(float).eps * e[-1] else np.full(rhs.shape, np.nan)
         return pa.table({"trial_id": t.column("trial_id")[:1], "z": pa.array([z.T.ravel().tolist()], pa.list_(pa.float64()))})
 
-    return _grouped(rows, kernel, "trial_id long, z array<double>")
+    out = _grouped(rows, kernel, "trial_id long, z array<double>")
+    if trials is None:
+        return out
+    width = len(weights.first()["w"]) * len(params.first()["intercept"])
+    empty = _missing(width) if method == "gls" else F.array_repeat(F.lit(0.0), width)
+    return trials.select("trial_id").distinct().join(out, "trial_id", "left").withColumn("z", F.coalesce("z", empty))
 
 
-def decode(obs: DataFrame, params: DataFrame, n_regressors: int, decoded: list[int], levels: dict[int, list[float]] | None = None, known: DataFrame | None = None, bins: list[int] | None = None) -> DataFrame:
+def decode(obs: DataFrame, params: DataFrame, n_regressors: int, decoded: list[int], levels: dict[int, list[float]] | None = None, known: DataFrame | None = None, bins: list[int] | None = None, trials: DataFrame | None = None) -> DataFrame:
     """(trial_id, values array by decoded regressor, log_likelihood, profile array, llr).
 
     Continuous regressors are solved jointly; discrete ones (with levels) by the profile
     over all their combinations, the first maximum winning. known(trial_id, x array)
     holds the regressors that aren't decoded. llr is profile[1] - profile[0] for one
-    two-level regressor, else null. Singular trials give NaN.
+    two-level regressor, else null. Singular trials give NaN, and with trials so do those
+    that hold no observation.
     """
     levels = levels or {}
     discrete = [p for p in decoded if p in levels]
@@ -182,4 +193,10 @@ def decode(obs: DataFrame, params: DataFrame, n_regressors: int, decoded: list[i
             }
         )
 
-    return _grouped(rows, kernel, "trial_id long, values array<double>, log_likelihood double, profile array<double>, llr double")
+    out = _grouped(rows, kernel, "trial_id long, values array<double>, log_likelihood double, profile array<double>, llr double")
+    if trials is None:
+        return out
+    nan, two = F.lit(float("nan")), len(discrete) == 1 and n_combinations == 2
+    filled = {"values": _missing(len(decoded)), "log_likelihood": nan, "profile": _missing(n_combinations), "llr": nan if two else F.lit(None)}
+    joined = trials.select("trial_id").distinct().join(out, "trial_id", "left")
+    return joined.withColumns({c: F.coalesce(c, v) for c, v in filled.items()})

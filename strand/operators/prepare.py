@@ -163,7 +163,7 @@ def empty_trials(design: DataFrame, obs: DataFrame) -> DataFrame:
 
 
 def empty_message(trials: DataFrame) -> str | None:
-    found = _first_ids(trials, "trial_id")
+    found = first_ids(trials, "trial_id")
     return f"trials without an observed neuron: {found}" if found else None
 
 
@@ -171,7 +171,7 @@ def deficient_message(neurons: str) -> str:
     return f"neurons whose observed design is rank-deficient: {neurons}; they get the least-norm solution unless ridge is positive"
 
 
-def _first_ids(df: DataFrame, column: str) -> str:
+def first_ids(df: DataFrame, column: str) -> str:
     """The smallest ids, and how many follow; empty without any."""
     ids = [r[0] for r in df.select(column).orderBy(column).limit(LISTED + 1).collect()]
     return listed(ids) if len(ids) <= LISTED else f"{listed(ids[:LISTED])} and {df.count() - LISTED} more"
@@ -241,11 +241,11 @@ def check_design(
         floor = observation_floor(min_observations, estimator, p, condition_independent)
         own = design_neurons(obs, design, floor, condition_independent, ridge, neurons).persist()
         few, deficient, empty = own.where("few_trials").select("neuron_id", "n_obs"), own.where("rank_deficient").select("neuron_id"), empty_trials(design, obs)
-        if found := _first_ids(few, "neuron_id"):
+        if found := first_ids(few, "neuron_id"):
             problems.append(f"neurons observed on fewer than {floor} trials: {found}")
         if found := empty_message(empty):
             warns.append(found)
-        if found := _first_ids(deficient, "neuron_id"):
+        if found := first_ids(deficient, "neuron_id"):
             warns.append(deficient_message(found))
         own.unpersist()
     for a in range(len(free)):

@@ -7,12 +7,13 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..errors import DesignWarning, NotFittedError, ParameterError, ValidationError, listed
+from ..errors import LISTED, DecodingWarning, DesignWarning, NotFittedError, ParameterError, ProjectionWarning, ValidationError, listed
 from ..functions import criteria, kernels, subspaces
 from ..operators import evaluate
 from ..operators.moments import Moments, collected, moments
-from ..operators.prepare import check_design, deficient_message, empty_message, empty_trials
+from ..operators.prepare import check_design, deficient_message, empty_message, empty_trials, first_ids
 from ..sources.frames import checked_design, fit_checks, observation_floor, observed
 from .distributed import candidate_fits
 from .fit import fit_least_squares, fit_marginal
@@ -210,17 +211,40 @@ class LowRankRegression:
         rows = [(int(i), b[k].ravel().tolist(), self.intercept_[k].tolist(), float(self.noise_precision_[k])) for k, i in enumerate(self.neuron_ids_)]
         return spark.createDataFrame(rows, "neuron_id long, b array<double>, intercept array<double>, noise_precision double")
 
+    def _evaluated(self, rows: DataFrame, mask: str | None, design: DataFrame | None = None) -> DataFrame:
+        """The observations, once they are known to fit the model: its neurons, bins and regressors, a design row each."""
+        obs = observed(rows, mask)
+        n, p, t = len(self.neuron_ids_), len(self.names_), self.intercept_.shape[1]
+        ids = rows.sparkSession.createDataFrame([(int(i),) for i in self.neuron_ids_], "neuron_id long")
+        strange = obs.select("neuron_id").distinct().join(ids, "neuron_id", "left_anti").orderBy("neuron_id").limit(LISTED + 1).collect()
+        if strange:
+            raise ValidationError(f"neurons that aren't among the {n} fitted ones: {listed(r[0] for r in strange)}")
+        if obs.where(F.size("y") != t).limit(1).count():
+            raise ValidationError(f"responses must have {t} bins, as in fit")
+        if design is not None:
+            self._check_width(design, p)
+            lost = obs.select("trial_id").distinct().join(design.select("trial_id"), "trial_id", "left_anti").orderBy("trial_id").limit(LISTED + 1).collect()
+            if lost:
+                raise ValidationError(f"trials without a design row: {listed(r[0] for r in lost)}")
+        return obs
+
+    @staticmethod
+    def _check_width(design: DataFrame, p: int) -> None:
+        if design.where(F.size("x") != p).limit(1).count():
+            raise ValidationError(f"the design must have {p} columns, as in fit")
+
     def predict(self, design: DataFrame) -> DataFrame:
+        self._check_width(design, len(self.names_))
         return evaluate.predict(design, self.params_frame(design.sparkSession))
 
     def log_likelihood(self, rows: DataFrame, design: DataFrame, mask: str | None = None, per_trial: bool = False) -> DataFrame:
-        return evaluate.log_likelihood(observed(rows, mask), design, self.params_frame(rows.sparkSession), per_trial, rows.select("trial_id").distinct())
+        return evaluate.log_likelihood(self._evaluated(rows, mask, design), design, self.params_frame(rows.sparkSession), per_trial, rows.select("trial_id").distinct())
 
     def score(self, rows: DataFrame, design: DataFrame, mask: str | None = None) -> float:
         return self.log_likelihood(rows, design, mask).first()[0]
 
     def explained_variance(self, rows: DataFrame, design: DataFrame, mask: str | None = None, per_bin: bool = False) -> DataFrame:
-        return evaluate.explained_variance(observed(rows, mask), design, self.params_frame(rows.sparkSession), list(self.names_), per_bin)
+        return evaluate.explained_variance(self._evaluated(rows, mask, design), design, self.params_frame(rows.sparkSession), list(self.names_), per_bin)
 
     def weights_frame(self, spark, names: list[str]) -> DataFrame:
         w = np.column_stack([self.W_[k] for k in names])
@@ -229,12 +253,21 @@ class LowRankRegression:
     def project(self, rows: DataFrame, regressor: str | None, mask: str | None = None, remove_intercept: bool = True, weighted: bool = True, method: str = "gls") -> DataFrame:
         """Coordinates of one regressor, or with None of all jointly."""
         names = [regressor] if regressor else [k for k in self.names_ if self.W_[k].shape[1]]
-        spark = rows.sparkSession
-        return evaluate.project(observed(rows, mask), self.weights_frame(spark, names), self.params_frame(spark), remove_intercept, weighted, method)
+        spark, obs = rows.sparkSession, self._evaluated(rows, mask)
+        if absent := self._unobserved(rows, obs):
+            warnings.warn(f"trials without an observation have no projection: {absent}", ProjectionWarning, stacklevel=2)
+        return evaluate.project(obs, self.weights_frame(spark, names), self.params_frame(spark), remove_intercept, weighted, method, rows.select("trial_id"))
 
     def decode(self, rows: DataFrame, regressors: list[str], mask: str | None = None, known: DataFrame | None = None, levels: dict[str, list[float]] | None = None, bins=None) -> DataFrame:
         at = {k: i for i, k in enumerate(self.names_)}
-        return evaluate.decode(observed(rows, mask), self.params_frame(rows.sparkSession), len(at), [at[k] for k in regressors], {at[k]: v for k, v in (levels or {}).items()}, known, bins)
+        obs = self._evaluated(rows, mask)
+        if absent := self._unobserved(rows, obs):
+            warnings.warn(f"trials without an observation have no decoded value: {absent}", DecodingWarning, stacklevel=2)
+        return evaluate.decode(obs, self.params_frame(rows.sparkSession), len(at), [at[k] for k in regressors], {at[k]: v for k, v in (levels or {}).items()}, known, bins, rows.select("trial_id"))
+
+    @staticmethod
+    def _unobserved(rows: DataFrame, obs: DataFrame) -> str:
+        return first_ids(empty_trials(rows, obs), "trial_id")
 
     def orthogonalize(self, order: list[str]) -> dict[str, np.ndarray]:
         return subspaces.orthogonalize(self.W_, order)

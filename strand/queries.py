@@ -228,7 +228,7 @@ WITH {WIDE} SELECT x1 AS half, CAST(greatest(1, least(count(*) - 1, round_even(c
 
 def q_design(spark, sf_dir):
     obs, design = data(spark, sf_dir)
-    r = prepare.check_design(design, obs)
+    r = prepare.check_design(design, obs, per_neuron=False)  # q_design_neurons and q_empty_trials are the rest
     rows = [(n, int(r.n_trials), round(float(m), 6) + 0.0, round(float(s), 6) + 0.0, round(r.max_abs_correlation, 6), int(r.rank)) for n, m, s in zip(r.names, r.means, r.stds, strict=True)]
     return spark.createDataFrame(rows, "regressor string, n long, mean double, std double, max_corr double, rank long")
 
@@ -239,6 +239,27 @@ SELECT unnest(['x0', 'x1']) AS regressor, n, unnest([m0, m1]) AS mean, unnest([s
   SELECT count(*) AS n, round(avg(x0), 6) + 0.0 AS m0, round(avg(x1), 6) + 0.0 AS m1, round(stddev_pop(x0), 6) + 0.0 AS s0, round(stddev_pop(x1), 6) + 0.0 AS s1, round(abs(corr(x0, x1)), 6) AS c FROM used)"""
 
 
+def q_design_neurons(spark, sf_dir):
+    obs, design = data(spark, sf_dir)
+    return prepare.design_neurons(obs, design, floor=4)
+
+
+SQL_DESIGN_NEURONS = f"""
+WITH {WIDE}
+SELECT neuron_id, count(*) AS n_obs, count(*) < 4 AS few_trials,
+       min(x0) = max(x0) OR min(x1) = max(x1) OR 1 - abs(corr(x0, x1)) <= 1e-10 AS rank_deficient
+FROM obs GROUP BY neuron_id"""
+
+
+def q_empty_trials(spark, sf_dir):
+    """Months in which no supplier has items of all three flags."""
+    obs, design = data(spark, sf_dir)
+    return prepare.empty_trials(design, obs)
+
+
+SQL_EMPTY_TRIALS = f"WITH {WIDE} SELECT trial_id FROM trials WHERE trial_id NOT IN (SELECT trial_id FROM obs)"
+
+
 def q_counts(spark, sf_dir):
     obs, _ = data(spark, sf_dir)
     n = obs.select("neuron_id").distinct().count()
@@ -398,6 +419,8 @@ QUERIES = {
     "stack_sessions": q_stack_sessions,
     "split_sizes": q_split_sizes,
     "check_design": q_design,
+    "design_neurons": q_design_neurons,
+    "empty_trials": q_empty_trials,
     "parameter_counts": q_counts,
     "coefficient_norms": q_coefficient_norms,
     "marginal_likelihood": q_marginal,
@@ -428,6 +451,8 @@ ORACLES = {
     "stack_sessions": SQL_STACK_SESSIONS,
     "split_sizes": SQL_SPLIT_SIZES,
     "check_design": SQL_DESIGN,
+    "design_neurons": SQL_DESIGN_NEURONS,
+    "empty_trials": SQL_EMPTY_TRIALS,
     "parameter_counts": SQL_COUNTS,
     "coefficient_norms": SQL_COEFFICIENT_NORMS,
     "marginal_likelihood": SQL_MARGINAL,

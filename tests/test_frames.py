@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strand.errors import DesignWarning, ParameterError, ValidationError
+from strand.errors import DesignWarning, ParameterError, ProjectionWarning, ValidationError
 from strand.operators import evaluate, prepare
 from strand.operators.moments import collected, from_arrays, moments
 from strand.plans.distributed import candidate_fits
@@ -58,8 +58,10 @@ def test_project_decode_and_scores(spark):
     rows, design = rows_of(spark, y), design_of(spark, x)
     model = LowRankRegression(ranks=[3, 3], estimator="svd").fit(rows, design)
     out = {r["trial_id"]: r for r in model.decode(rows, ["x0", "x1"], levels={"x1": [-1.0, 1.0]}).collect()}
-    assert 0 not in out and len(out) == 29
+    assert len(out) == 30 and np.isnan([*out[0]["values"], *out[0]["profile"], out[0]["log_likelihood"], out[0]["llr"]]).all()
     for k, r in out.items():
+        if k == 0:
+            continue
         np.testing.assert_allclose(r["values"], x[k], atol=1e-2)
         assert (r["llr"] > 0) == (x[k, 1] > 0)
     z = {r["trial_id"]: np.array(r["z"]).reshape(3, -1) for r in model.project(rows, "x0").collect()}
@@ -67,6 +69,17 @@ def test_project_decode_and_scores(spark):
     d = np.sqrt(model.noise_precision_)[:, None]
     want = np.linalg.lstsq(d * w, d * (y[4] - model.intercept_), rcond=None)[0].T
     np.testing.assert_allclose(z[4], want, atol=1e-8)
+    assert len(z) == 30 and z[0].shape == z[4].shape and np.isnan(z[0]).all()
+    with pytest.warns(ProjectionWarning, match=": 0"):
+        model.project(rows, "x0")
+    with pytest.raises(ValidationError, match="fitted ones: 5"):
+        model.project(rows.withColumn("neuron_id", F.col("neuron_id") + 1), "x0")
+    with pytest.raises(ValidationError, match="3 bins"):
+        model.score(rows.withColumn("y", F.slice("y", 1, 2)), design)
+    with pytest.raises(ValidationError, match="design row: 7"):
+        model.score(rows, design.where("trial_id <> 7"))
+    with pytest.raises(ValidationError, match="2 columns"):
+        model.predict(design.withColumn("x", F.slice("x", 1, 1)))
     ev = {r["term"]: r["explained"] for r in model.explained_variance(rows, design).collect()}
     assert ev["total"] > 0.999
     per = {r["trial_id"]: r["log_likelihood"] for r in model.log_likelihood(rows, design, per_trial=True).collect()}
