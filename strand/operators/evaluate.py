@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ParameterError
 from ..sources.frames import with_design
+from .moments import Moments, grouped_moments, parts_of
 
 #: Level combinations a discrete decoder may enumerate.
 MOST_COMBINATIONS = 64
@@ -114,22 +115,26 @@ def project(obs: DataFrame, weights: DataFrame, params: DataFrame, remove_interc
     if method not in ("gls", "paper"):
         raise ParameterError(f"method must be 'gls' or 'paper'; got {method!r}")
     rows = obs.join(weights, "neuron_id").join(params.select("neuron_id", "intercept", "noise_precision"), "neuron_id")
-
-    def kernel(t: pa.Table) -> pa.Table:
-        u, y = _matrix(t, "w"), _matrix(t, "y")
-        if remove_intercept:
-            y = y - _matrix(t, "intercept")
-        d = t.column("noise_precision").to_numpy() if weighted else np.ones(t.num_rows)
-        if method == "paper":
-            z = u.T @ y
-        else:
-            g = (u * d[:, None]).T @ u
-            e = np.linalg.eigvalsh(g)
-            rhs = (u * d[:, None]).T @ y
-            z = np.linalg.solve(g, rhs) if e[0] > np.finfo(float).eps * e[-1] else np.full(rhs.shape, np.nan)
-        return pa.table({"trial_id": t.column("trial_id")[:1], "z": pa.array([z.T.ravel().tolist()], pa.list_(pa.float64()))})
-
-    out = _grouped(rows, kernel, "trial_id long, z array<double>")
+    if remove_intercept:
+        rows = rows.withColumn("y", F.zip_with("y", "intercept", lambda v, c: v - c))
+    root = F.sqrt("noise_precision") if weighted and method == "gls" else F.lit(1.0)
+    # each trial is a regression of its neurons' responses on their weights: its sums add up over tasks as a neuron's do over trials
+    sums = grouped_moments(rows.select(F.col("trial_id").alias("neuron_id"), F.transform("w", lambda v: v * root).alias("x"), F.transform("y", lambda v: v * root).alias("y")))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = Moments(*parts_of(pa.Table.from_batches([batch])))
+            g, z, _ = m.raw()
+            if method == "gls":
+                e = np.linalg.eigvalsh(g)
+                fine = (m.n >= g.shape[1]) & (e[:, 0] > np.finfo(float).eps * e[:, -1])
+                z[fine] = np.linalg.solve(g[fine], z[fine])
+                z[~fine] = np.nan
+            yield pa.RecordBatch.from_arrays([pa.array(m.ids), pa.array(list(z.transpose(0, 2, 1).reshape(len(z), -1)), pa.list_(pa.float64()))], ["trial_id", "z"])
+
+    out = sums.mapInArrow(run, "trial_id long, z array<double>")
     if trials is None:
         return out
     width = len(weights.first()["w"]) * len(params.first()["intercept"])

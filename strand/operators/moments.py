@@ -148,9 +148,13 @@ def _merge_typed(table: pa.Table) -> pa.Table:
 
 def moments(obs: DataFrame, design: DataFrame) -> DataFrame:
     """stats(neuron_id, n_obs, x_mean, y_mean, xtx_c, xty_c, yty_c): one shuffle, of one row per neuron and task."""
-    partial = with_design(obs, design).select("neuron_id", "x", "y").mapInArrow(_partial, SCHEMA)
-    return partial.groupBy("neuron_id").applyInArrow(_merge_typed, SCHEMA)
+    return grouped_moments(with_design(obs, design))
+
 
+def grouped_moments(rows: DataFrame) -> DataFrame:
+    """The moments of rows(neuron_id, x, y); a task's batches are summed before the shuffle."""
+    partial = rows.select("neuron_id", "x", "y").mapInArrow(_partial, SCHEMA)
+    return partial.groupBy("neuron_id").applyInArrow(_merge_typed, SCHEMA)
 
 
 def moments_sql(obs: DataFrame, design: DataFrame) -> DataFrame:

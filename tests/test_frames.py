@@ -70,6 +70,11 @@ def test_project_decode_and_scores(spark):
     want = np.linalg.lstsq(d * w, d * (y[4] - model.intercept_), rcond=None)[0].T
     np.testing.assert_allclose(z[4], want, atol=1e-8)
     assert len(z) == 30 and z[0].shape == z[4].shape and np.isnan(z[0]).all()
+    paper = {r["trial_id"]: np.array(r["z"]).reshape(3, -1) for r in model.project(rows, "x0", method="paper", remove_intercept=False).collect()}
+    np.testing.assert_allclose(paper[4], (w.T @ y[4]).T, atol=1e-8)
+    assert (paper[0] == 0).all()
+    few = {r["trial_id"]: np.array(r["z"]) for r in model.project(rows.where("neuron_id < 2"), "x0").collect()}
+    assert np.isnan(few[4]).all()  # two neurons, three components
     with pytest.warns(ProjectionWarning, match=": 0"):
         model.project(rows, "x0")
     with pytest.raises(ValidationError, match="fitted ones: 5"):
